@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,8 +29,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Remainders that a task holds at a time, under CAPACITY ids each.
 WINDOW = 256
-#: Different words whose ids a Python worker keeps; the store starts anew beyond that.
-KNOWN_WORDS = 400_000
+#: Different words whose ids a Python worker keeps; those not met lately go first.
+KNOWN_WORDS = 1_200_000
 ID_BYTES = 4
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
@@ -39,27 +40,47 @@ class Encoder:
     """Ids of a text as little-endian 32-bit bytes.
 
     The tokenizer drops white space and no rule of it reaches across, so a text's
-    ids are those of its words in turn, and each different word is encoded once.
+    ids are those of its words in turn, and a word that is known is not encoded
+    again. New words are encoded together, parted by a special token, which the
+    tokenizer takes out before anything else.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.mark_id, mark = min(special.items()) if special else (None, "")
+        self.mark = mark.encode()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def alone(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def prepare(self, pieces: list[list[bytes]]) -> None:
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        new = list({w for ws in pieces for w in ws if w not in self.known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = b"".join(i.to_bytes(ID_BYTES, "little") for i in e.ids)
+        if len(self.known) > KNOWN_WORDS // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for w in set().union(*pieces).difference(known):
+            if w in older:
+                known[w] = older[w]
+            elif not self.mark or self.mark in w:
+                known[w] = self.alone(w)
+            else:
+                new.append(w)
+        for at in range(0, len(new), 512):
+            part = new[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(part, [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]):
+                known[w] = raw[begin * ID_BYTES : end * ID_BYTES]
+                begin = end + 1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        # bytes.split cuts at ASCII white space only, which the tokenizer drops too
-        pieces = [(t or "").encode().split() for t in texts]
+        # bytes.split cuts at ASCII white space only, which the tokenizer drops too; it lowers case itself
+        pieces = [((t or "").encode().lower() if (t or "").isascii() else t.encode()).split() for t in texts]
         self.prepare(pieces)
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in pieces]
