@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import maxscore, mixing, packing, quality_rules
+from . import maxscore, mixing, packing, pii, quality_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(_read(spark, sf_dir, "documents"))
+    counts = [pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -104,7 +110,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op5_mix_sources, op7_maxscore_topk, op8_pack_sequences)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_quality_rules, op5_mix_sources, op7_maxscore_topk, op8_pack_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:
