@@ -16,6 +16,7 @@ read. An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -30,9 +31,13 @@ END_ID = 2
 #: Remainders that a task holds at a time, under CAPACITY ids each.
 WINDOW = 256
 #: Different words whose ids a Python worker keeps; those not met lately go first.
-KNOWN_WORDS = 1_200_000
+KNOWN_WORDS = 2_400_000
 ID_BYTES = 4
 
+#: The tokenizer's own cuts in lower-case ASCII without apostrophes, and marks after a letter.
+PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~]+$")
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
@@ -49,34 +54,60 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
-        self.mark_id, mark = min(special.items()) if special else (None, "")
-        self.mark = mark.encode()
+        added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if not added:
+            raise ValueError(f"{path} has no special token to part words by")
+        self.mark_id, self.mark = min(added), added[min(added)].encode()
+        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added.values()))
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def alone(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def parts(self, word: bytes) -> list[bytes]:
+        """A word's parts that the tokenizer takes alone, as far as ASCII shows them; else the word."""
+        if b"'" in word or self.added.search(word):
+            return [word]
+        if word.isascii():
+            return PARTS.findall(word.lower())
+        tail = TAIL.search(word)
+        if tail and tail.start() and word[: tail.start()].decode()[-1].lower().isalpha():
+            return [word[: tail.start()], tail[0]]
+        return [word]
+
     def prepare(self, pieces: list[list[bytes]]) -> None:
         if len(self.known) > KNOWN_WORDS // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = []
+        made, new = [], set()
         for w in set().union(*pieces).difference(known):
             if w in older:
                 known[w] = older[w]
-            elif not self.mark or self.mark in w:
-                known[w] = self.alone(w)
-            else:
-                new.append(w)
-        for at in range(0, len(new), 512):
-            part = new[at : at + 512]
+                continue
+            parts = self.parts(w)
+            for p in parts:
+                if p not in known:
+                    if p in older:
+                        known[p] = older[p]
+                    else:
+                        new.add(p)
+            if parts != [w]:
+                made.append((w, parts))
+        apart = [w for w in new if self.added.search(w)]
+        for w in apart:
+            known[w] = self.alone(w)
+        together = list(new.difference(apart)) if apart else list(new)
+        for at in range(0, len(together), 512):
+            part = together[at : at + 512]
             ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
             raw, begin = ids.tobytes(), 0
             for w, end in zip(part, [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]):
                 known[w] = raw[begin * ID_BYTES : end * ID_BYTES]
                 begin = end + 1
+        get = known.__getitem__
+        for w, parts in made:
+            known[w] = b"".join(map(get, parts))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         # bytes.split cuts at ASCII white space only, which the tokenizer drops too; it lowers case itself
