@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +74,45 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], salt: Column)
     for c in on[1:]:
         cond = cond & c
     return big.join(renamed, cond, "left").drop("_salt", "_s", *[f"_k_{k}" for k in keys])
+
+
+#: Bits of an id filter: 2 MB, whatever the input.
+FILTER_BITS = 1 << 24
+#: Bits of one bitmap of bitmap_construct_agg.
+BITMAP = 1 << 15
+
+
+def id_bit(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS))
+
+
+def id_filter(ids: DataFrame, id_col: str) -> bytes:
+    """A bitmap with the hashed ids, of fixed size: a row whose bit is off need not be looked at. With more ids than bits it tells nothing, and nothing breaks."""
+    bit = id_bit(id_col)
+    parts = ids.groupBy(F.floor(bit / BITMAP).alias("b")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(BITMAP))).alias("m")).collect()
+    out = bytearray(FILTER_BITS // 8)
+    for r in parts:
+        out[r["b"] * BITMAP // 8 : (r["b"] + 1) * BITMAP // 8] = r["m"]
+    return bytes(out)
+
+
+def passes(bitmap: bytes, bits) -> np.ndarray:
+    """Which of the bit numbers are on."""
+    table = np.frombuffer(bitmap, dtype=np.uint8)
+    bits = np.asarray(bits, dtype=np.int64)
+    return (table[bits >> 3] >> (bits & 7) & 1).astype(bool)
+
+
+def unique_ids(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(row, text) of the rows with an id, and (row, doc_id) where they differ.
+
+    ``row`` is unique and orders as doc_id does. It is doc_id itself where no id
+    repeats; where some do, rows are numbered in the order of id and text.
+    """
+    df = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    repeated = df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if not repeated:
+        return df.select(F.col("doc_id").alias("row"), "text"), None
+    ordered = df.repartitionByRange("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 64)).sortWithinPartitions("doc_id", F.asc_nulls_first("text"))
+    numbered = materialize(ordered.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return numbered.select("row", "text"), numbered.select("row", "doc_id")

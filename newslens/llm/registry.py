@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import maxscore, mixing, packing, pii, quality_rules
+from . import maxscore, mixing, packing, pii, quality_rules, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_read(spark, sf_dir, "documents"))
+
+
 OP7_SQL = """
 WITH e AS (SELECT vec_id, embedding FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -110,7 +114,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_spans, op2_quality_rules, op5_mix_sources, op7_maxscore_topk, op8_pack_sequences)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_quality_rules, op5_mix_sources, op7_maxscore_topk, op8_pack_sequences, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
