@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import maxscore, mixing, packing, pii, quality_rules, suffix_dedup
+from . import maxscore, mixing, packing, pii, quality_rules, suffix_dedup, token_groups
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_groups.join(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", mixing.taken(F.col("pieces")).alias("taken"))
@@ -114,7 +119,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_spans, op2_quality_rules, op5_mix_sources, op7_maxscore_topk, op8_pack_sequences, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_quality_rules, op4_ngram_jaccard_join, op5_mix_sources, op7_maxscore_topk, op8_pack_sequences, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
