@@ -256,14 +256,15 @@ def _samples(docs: DataFrame) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "rank long, row long, place long")
 
 
-def _where(docs: DataFrame, bitmap: bytes, on: bool) -> DataFrame:
-    """Rows whose bit is on, or off. The bitmap goes to the tasks once."""
+def _where(docs: DataFrame, bitmap: bytes) -> DataFrame:
+    """Rows whose bit is on. The bitmap goes to the tasks once."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = passes(sent.value, batch.column(2).to_numpy())
-            yield batch.filter(pa.array(keep if on else ~keep)).select([0, 1])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                yield batch.filter(pa.array(passes(sent.value, batch.column(2).to_numpy()))).select([0, 1])
 
     return docs.select("row", "text", id_bit("row").alias("bit")).mapInArrow(run, "row long, text string")
 
@@ -306,40 +307,61 @@ def _in_buckets(df: DataFrame) -> DataFrame:
 RESULT = "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def _result(row: int, text: str | None, spans: list[tuple[int, int]], with_text: bool) -> tuple:
+    """RESULT of one text; spans may overlap."""
+    b = (text or "").encode()
+    kept, at, gone, runs = [], 0, 0, 0
+    for start, end in sorted(spans):
+        start = max(start, at)
+        if end <= at:
+            continue
+        if start > at or not runs:
+            kept.append(b[at:start])
+            runs += 1
+        gone += end - start
+        at = end
+    rest = b"".join([*kept, b[at:]])
+    return (row, len(b), gone, runs, hashlib.sha256(rest).hexdigest(), *([rest.decode(errors="replace")] * with_text))
+
+
+def _emit(out: list[tuple], with_text: bool) -> Iterator[pa.RecordBatch]:
+    if out:
+        kinds = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + with_text])
+
+
+def _untouched(docs: DataFrame, bitmap: bytes, with_text: bool) -> DataFrame:
+    """RESULT of the rows whose bit is off, which have no spans."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                batch = batch.filter(pa.array(~passes(sent.value, batch.column(2).to_numpy())))
+                yield from _emit([_result(row, text, [], with_text) for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], with_text)
+
+    return docs.select("row", "text", id_bit("row").alias("bit")).mapInArrow(run, RESULT + (", kept_text string" if with_text else ""))
+
+
 def _cut(docs: DataFrame, with_text: bool) -> DataFrame:
-    """RESULT of (row, text, spans); spans may overlap."""
+    """RESULT of (row, text, starts, ends)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                out = []
-                for row, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                    b = (text or "").encode()
-                    kept, at, gone, runs = [], 0, 0, 0
-                    for s in sorted((s["start"], s["end"]) for s in spans or ()):
-                        start, end = max(s[0], at), s[1]
-                        if end <= at:
-                            continue
-                        if start > at or not runs:
-                            kept.append(b[at:start])
-                            runs += 1
-                        gone += end - start
-                        at = end
-                    rest = b"".join([*kept, b[at:]])
-                    out.append((row, len(b), gone, runs, hashlib.sha256(rest).hexdigest(), *([rest.decode(errors="replace")] * with_text)))
-                if out:
-                    kinds = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + with_text])
-
-    return docs.select("row", "text", "spans").mapInArrow(run, RESULT + (", kept_text string" if with_text else ""))
+                rows = zip(*(c.to_pylist() for c in batch.columns))
+                yield from _emit([_result(row, text, list(zip(starts or (), ends or ())), with_text) for row, text, starts, ends in rows], with_text)
+
+    return docs.select("row", "text", "starts", "ends").mapInArrow(run, RESULT + (", kept_text string" if with_text else ""))
 
 
 def repeats(rows: DataFrame) -> DataFrame:
     """(row, start, end) of strings that start earlier too; spans overlap. ``rows``: (row, text)."""
     by_rank = Window.partitionBy("rank")
     again = materialize(_samples(rows).withColumn("n", F.count(F.lit(1)).over(by_rank)).where("n > 1"), "samples")
-    near = _contexts(_where(rows, id_filter(again, "row"), True), again)
+    near = _contexts(_where(rows, id_filter(again, "row")), again)
     shares = F.ceil(F.col("n") / HOT).cast("long")
     first = near.withColumn("bucket", F.when(F.col("n") > HOT, F.xxhash64("rank", F.pmod(F.xxhash64("row", "place"), shares))).otherwise(F.col("rank"))).withColumn("side", F.lit(0))
     done = materialize(_sort_buckets(_in_buckets(first), True), "round-one")
@@ -359,10 +381,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     rows, ids = unique_ids(docs, id_col, text_col)
     spans = repeats(rows)
     bitmap = id_filter(spans, "row")
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    whole = _cut(_where(rows, bitmap, False).withColumn("spans", none), with_text)
-    lists = spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    cut = _cut(_where(rows, bitmap, True).join(lists, "row", "left"), with_text)
+    whole = _untouched(rows, bitmap, with_text)
+    lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("s")).select("row", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
+    cut = _cut(_where(rows, bitmap).join(lists, "row", "left"), with_text)
     out = whole.unionByName(cut)
     if ids is None:
         return out.withColumnRenamed("row", "doc_id")
