@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,3 +117,23 @@ def unique_ids(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     ordered = df.repartitionByRange("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 64)).sortWithinPartitions("doc_id", F.asc_nulls_first("text"))
     numbered = materialize(ordered.withColumn("row", F.monotonically_increasing_id()), "rows")
     return numbered.select("row", "text"), numbered.select("row", "doc_id")
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, for mapInArrow, after which a worker gives back memory that Arrow and the C library hold for later: an executor may keep several workers at rest."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+
+    return tidied

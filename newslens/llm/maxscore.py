@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Queries sent to the tasks at a time.
 BLOCK = 32_768
 #: Terms probed between two prunings.
@@ -129,7 +131,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, k: int = 5, id_col: str
             if flat:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat)], names=["query_id", "vec_id", "score"])
 
-        part = rows.mapInArrow(run, SCHEMA)
+        part = rows.mapInArrow(tidy(run), SCHEMA)
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 
 # The base patterns.
@@ -242,7 +244,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                         c.append(_as_rows(s))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(SPAN)) for c in cols)], names=["doc_id", "base", "added", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def redact_text(t: str) -> str:
@@ -267,7 +269,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = "
                 texts = pa.array([None if t is None else redact_text(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
                 yield batch.set_column(at, batch.schema.field(at), texts)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidy(run), docs.schema)
     if chars_col and chars_col in docs.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return out

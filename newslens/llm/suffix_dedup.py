@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_bit, id_filter, materialize, passes, unique_ids
+from .common import id_bit, id_filter, materialize, passes, tidy, unique_ids
 
 LENGTH = 100
 GRAM = 32
@@ -227,7 +227,7 @@ def _sort_buckets(df: DataFrame, keep_fresh: bool) -> DataFrame:
             more = more.rename_columns([f"s_{c}" for c in more.column_names])
             yield from _both(spans, more)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def _both(a: pa.Table, b: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -253,7 +253,7 @@ def _samples(docs: DataFrame) -> DataFrame:
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["rank", "row", "place"])
 
-    return docs.select("row", "text").mapInArrow(run, "rank long, row long, place long")
+    return docs.select("row", "text").mapInArrow(tidy(run), "rank long, row long, place long")
 
 
 def _where(docs: DataFrame, bitmap: bytes) -> DataFrame:
@@ -266,7 +266,7 @@ def _where(docs: DataFrame, bitmap: bytes) -> DataFrame:
                 batch = whole.slice(at, 512)
                 yield batch.filter(pa.array(passes(sent.value, batch.column(2).to_numpy()))).select([0, 1])
 
-    return docs.select("row", "text", id_bit("row").alias("bit")).mapInArrow(run, "row long, text string")
+    return docs.select("row", "text", id_bit("row").alias("bit")).mapInArrow(tidy(run), "row long, text string")
 
 
 def _contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def _contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
                             names=[x.split()[0] for x in CONTEXT.split(", ")],
                         )
 
-    return docs.join(lists, "row").select("row", "text", "at").mapInArrow(run, CONTEXT)
+    return docs.join(lists, "row").select("row", "text", "at").mapInArrow(tidy(run), CONTEXT)
 
 
 def _in_buckets(df: DataFrame) -> DataFrame:
@@ -341,7 +341,7 @@ def _untouched(docs: DataFrame, bitmap: bytes, with_text: bool) -> DataFrame:
                 batch = batch.filter(pa.array(~passes(sent.value, batch.column(2).to_numpy())))
                 yield from _emit([_result(row, text, [], with_text) for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], with_text)
 
-    return docs.select("row", "text", id_bit("row").alias("bit")).mapInArrow(run, RESULT + (", kept_text string" if with_text else ""))
+    return docs.select("row", "text", id_bit("row").alias("bit")).mapInArrow(tidy(run), RESULT + (", kept_text string" if with_text else ""))
 
 
 def _cut(docs: DataFrame, with_text: bool) -> DataFrame:
@@ -354,7 +354,7 @@ def _cut(docs: DataFrame, with_text: bool) -> DataFrame:
                 rows = zip(*(c.to_pylist() for c in batch.columns))
                 yield from _emit([_result(row, text, list(zip(starts or (), ends or ())), with_text) for row, text, starts, ends in rows], with_text)
 
-    return docs.select("row", "text", "starts", "ends").mapInArrow(run, RESULT + (", kept_text string" if with_text else ""))
+    return docs.select("row", "text", "starts", "ends").mapInArrow(tidy(run), RESULT + (", kept_text string" if with_text else ""))
 
 
 def repeats(rows: DataFrame) -> DataFrame:

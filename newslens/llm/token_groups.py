@@ -42,7 +42,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bit, id_filter, materialize, passes, unique_ids
+from .common import id_bit, id_filter, materialize, passes, tidy, unique_ids
 
 N = 4
 #: The threshold, as parts of a hundred.
@@ -140,7 +140,7 @@ def frequent_tokens(docs: DataFrame, n: int) -> bytes:
             often = count > LOSSY
             yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(count[often], pa.int64())], names=["token", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where(f"n > {8 * LOSSY}").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toPandas()
     return top["token"].to_numpy(dtype=np.int64).tobytes()
 
@@ -163,7 +163,7 @@ def signatures(docs: DataFrame, frequent: Broadcast, n: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
 
     schema = ", ".join(f"{c} long" for c in names[:-1]) + ", first array<long>"
-    return docs.select("row", "text").mapInArrow(run, schema)
+    return docs.select("row", "text").mapInArrow(tidy(run), schema)
 
 
 def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -185,9 +185,9 @@ def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    found = materialize(docs.select("row", "text", id_bit("row").alias("bit")).mapInArrow(sets, "row long, tokens binary"), "sets")
+    found = materialize(docs.select("row", "text", id_bit("row").alias("bit")).mapInArrow(tidy(sets), "row long, tokens binary"), "sets")
     left = pairs.join(found.select(F.col("row").alias("a"), F.col("tokens").alias("x")), "a")
-    return left.join(found.select(F.col("row").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return left.join(found.select(F.col("row").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(tidy(compare), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
