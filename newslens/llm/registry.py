@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import maxscore, mixing, packing, pii, quality_rules, suffix_dedup, token_groups
+from . import maxscore, mixing, packing, pii, pu_quality, quality_rules, suffix_dedup, token_groups, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows whose labels are never learnt from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
 def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(_read(spark, sf_dir, "documents"))
     counts = [pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
@@ -41,6 +46,13 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", mixing.taken(F.col("pieces")).alias("taken"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "embeddings")
     return maxscore.top_k(rows.where("vec_id % 50 = 0"), rows, k=5)
@@ -55,6 +67,12 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_read(spark, sf_dir, "documents"))
 
 
+def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    out = pu_quality.classify(docs, labels.where(~held_out(F.col("doc_id"))).select("doc_id", "quality"), ~held_out(F.col("doc_id")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 OP7_SQL = """
 WITH e AS (SELECT vec_id, embedding FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -119,7 +137,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_spans, op2_quality_rules, op4_ngram_jaccard_join, op5_mix_sources, op7_maxscore_topk, op8_pack_sequences, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_quality_rules, op4_ngram_jaccard_join, op5_mix_sources, op6_toxicity, op7_maxscore_topk, op8_pack_sequences, op9_suffix_dedup, op10_pu_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
