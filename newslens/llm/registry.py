@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import maxscore, mixing, packing, pii, pu_quality, quality_rules, suffix_dedup, token_groups, toxicity
+from . import licenses, maxscore, mixing, packing, pii, pu_quality, quality_rules, suffix_dedup, token_groups, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_groups.join(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_shingles", "component_id", "class_id")
@@ -137,8 +141,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_spans, op2_quality_rules, op4_ngram_jaccard_join, op5_mix_sources, op6_toxicity, op7_maxscore_topk, op8_pack_sequences, op9_suffix_dedup, op10_pu_quality)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_quality_rules, op3_license_scan, op4_ngram_jaccard_join, op5_mix_sources, op6_toxicity, op7_maxscore_topk, op8_pack_sequences, op9_suffix_dedup, op10_pu_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op5_mix_sources": OP5_SQL, "op7_maxscore_topk": OP7_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op3_license_scan": licenses.oracle(), "op5_mix_sources": OP5_SQL, "op7_maxscore_topk": OP7_SQL}
