@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, n_words
+from .common import join_small, materialize, n_words, words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -79,14 +79,16 @@ def split(quotas: DataFrame, shards: int) -> DataFrame:
     return by_node
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, pieces.
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, blocks: int = BLOCKS, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, pieces; with ``carry`` its own columns instead of the first four, and pieces.
 
     ``pieces``: array of (shard, block, turn, start, length, place): words ``start``
     to ``start + length`` of the text on turn 0 or 1, in a block, for a shard, there
     in the order of ``place``.
     """
-    sizes = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size")), "sizes")
+    own = [F.struct(*docs.columns).alias("own")] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"), *own)
+    sizes = materialize(rows.drop("own"), "sizes")
     goal = materialize(targets(sizes).withColumn("take", F.round("target").cast("long")), "targets")
     width = F.greatest(F.lit(1), F.ceil(F.sum("take").over(Window.partitionBy()) / (shards * blocks))).cast("long")
     goal = goal.withColumn("width", width).withColumn("blocks", F.ceil(F.col("take") / F.col("width")).cast("long"))
@@ -96,13 +98,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     ends = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda j: F.aggregate(F.slice("counts", 1, j), F.lit(0).cast("long"), lambda a, b: a + b))
     plan = materialize(goal.join(shares, "rank", "left").withColumn("counts", counts).withColumn("ends", ends).select("source", "source_size", "target", "take", "width", "ends"), "plan")
 
-    placed = sizes.withColumn("h", place(F.col("doc_id"))).withColumn("bucket", F.substring("h", 1, 3))
-    buckets = placed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    dealt = lambda df: df.withColumn("h", place(F.col("doc_id"))).withColumn("bucket", F.substring("h", 1, 3))
+    buckets = dealt(sizes).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).cast("long").alias("ahead"))
     within = Window.partitionBy("source", "bucket").orderBy("h", F.asc_nulls_first("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)).cast("long"))
-    placed = placed.join(buckets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket"))).withColumn("at", F.col("ahead") + F.col("inside")).select("doc_id", "source", "size", "h", "at")
+    placed = dealt(rows if carry else sizes).withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)).cast("long"))
+    placed = placed.join(buckets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket"))).withColumn("at", F.col("ahead") + F.col("inside")).drop("b_source", "b_bucket", "bucket", "ahead", "inside")
     known = join_small(placed, plan, ["source"], F.col("h"))
 
     def turn(e: int) -> Column:
@@ -121,8 +123,23 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         none = F.array().cast("array<struct<shard:int,block:bigint,turn:int,start:bigint,length:bigint,place:string>>")
         return F.when(length > 0, F.transform(F.sequence(first, last), piece)).otherwise(none)
 
-    return known.withColumn("pieces", F.concat(*[turn(e) for e in range(REPEATS)])).select("doc_id", "source", "size", "source_size", "target", "pieces")
+    known = known.withColumn("pieces", F.concat(*[turn(e) for e in range(REPEATS)]))
+    return known.select(*([F.col("own"), "size"] if carry else ["doc_id", "source", "size", "source_size", "target"]), "pieces")
 
 
 def taken(pieces: Column) -> Column:
     return F.aggregate(pieces, F.lit(0).cast("long"), lambda a, p: a + p["length"])
+
+
+def mixed(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
+    """The mix itself: rows of ``docs``, one for each turn of a document that it takes, with the words that it takes on that turn."""
+    rows = mix(docs, text_col=text_col, carry=True, **options)
+    length = lambda e: F.aggregate(F.filter("pieces", lambda p: p["turn"] == e), F.lit(0).cast("long"), lambda a, p: a + p["length"])
+    lengths = F.filter(F.array(*[length(e) for e in range(REPEATS)]), lambda n: n > 0)
+    rows = rows.select("own", "size", F.explode(lengths).alias("length"))
+    # one text of a source at most is cut on each turn
+    text = F.when(F.col("length") >= F.col("size"), F.col(f"own.{text_col}")).otherwise(F.array_join(F.slice(words(F.col(f"own.{text_col}")), 1, F.col("length").cast("int")), " "))
+    out = rows.select(*[text.alias(c) if c == text_col else F.col(f"own.`{c}`").alias(c) for c in docs.columns])
+    if chars_col and chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return out

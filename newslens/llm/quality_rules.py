@@ -36,36 +36,32 @@ SLACK = {"symbol_rate": 250, "dup_line_rate": 500, "word_length": 400}
 TWO_SIDED = ("word_length",)
 
 
-def repeated_words(w: Column) -> Column:
-    """Words that lie in a window of RUN words found twice or more: where a text has such windows, sorts them with their places and adds up what they cover."""
+def run_hashes(w: Column) -> Column:
+    """Hashes of the windows of RUN words."""
     n = F.size(w)
-    grams = F.when(n >= RUN, F.transform(F.sequence(F.lit(0), n - RUN), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(RUN)]))).otherwise(F.array().cast("array<bigint>"))
-    return grams
+    return F.when(n >= RUN, F.transform(F.sequence(F.lit(0), n - RUN), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(RUN)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def covered(grams: Column) -> Column:
-    ordered = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return ordered
-
-
-def counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang, source and the counts of each text."""
+def counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own: Column | None = None) -> DataFrame:
+    """doc_id, lang, source and the counts of each text; and ``own``, if given."""
+    keys = ["doc_id", "lang", "source"] + ["own"] * (own is not None)
     t = F.coalesce(F.col("_t"), F.lit(""))
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col(text_col).cast("string").alias("_t"))
-    df = df.select("doc_id", "lang", "source", words(F.col("_t")).alias("_w"), F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), F.filter(F.split(t, "\n"), lambda x: x.rlike(WITH_WORD)).alias("_l"))
+    df = docs.select(F.col(id_col).alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col(text_col).cast("string").alias("_t"), *([own.alias("own")] if own is not None else []))
+    df = df.select(*keys, words(F.col("_t")).alias("_w"), F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), F.filter(F.split(t, "\n"), lambda x: x.rlike(WITH_WORD)).alias("_l"))
     df = df.select(
-        "doc_id", "lang", "source", "n_symbols", repeated_words(F.col("_w")).alias("_g"),
+        *keys, "n_symbols", run_hashes(F.col("_w")).alias("_g"),
         F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
     )
+    # where a text has repeated windows: sorts them with their places, and adds up what they cover
     repeats = F.size(F.array_distinct("_g")) < F.size("_g")
-    df = df.withColumn("_s", F.when(repeats, covered(F.col("_g"))))
+    df = df.withColumn("_s", F.when(repeats, F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda x, k, by: F.coalesce(F.get(F.col("_s"), k + by)["h"] == x["h"], F.lit(False))
     at = F.sort_array(F.transform(F.filter("_s", lambda x, k: same(x, k, -1) | same(x, k, 1)), lambda x: x["i"]))
     df = df.withColumn("_p", at)
     cover = F.aggregate(F.transform("_p", lambda x, k: F.least(F.lit(RUN), F.coalesce(F.get(F.col("_p"), k + 1), x + RUN) - x).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
     df = df.withColumn("n_repeat_words", F.coalesce(cover, F.lit(0).cast("long")))
-    return df.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    return df.select(*keys, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 #: A line with a word in it.
@@ -110,12 +106,26 @@ def limits(df: DataFrame) -> DataFrame:
     return each.withColumn("v", pick).groupBy("lang", "source").agg(*[one(n, f) for n in names for f in ("high", "low")])
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang, source, the counts, the ratios, base_failed, kept and, for the rejected, ``failed_rate``."""
-    df = rates(materialize(counts(docs, id_col=id_col, text_col=text_col), "counts"))
-    df = join_small(df, materialize(limits(df), "limits"), ["lang", "source"], F.struct("doc_id", "n_words"))
+def verdict(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """``df`` with counts, joined with the limits of its groups: adds base_failed, failed_rate (the first ratio out of its limits) and kept."""
+    df = join_small(rates(df), groups, ["lang", "source"], F.struct("doc_id", "n_words"))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     bad = [F.when((F.col(n) > F.col(f"high_{n}")) | ((F.col(n) < F.col(f"low_{n}")) if n in TWO_SIDED else F.lit(False)), F.lit(n)) for n in SLACK]
     df = df.withColumn("base_failed", base).withColumn("failed_rate", F.coalesce(*bad))
     kept = ~F.col("base_failed") & F.col("failed_rate").isNull()
     return df.withColumn("kept", kept).drop(*[f"{f}_{n}" for n in SLACK for f in ("high", "low")])
+
+
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang, source, the counts, the ratios, base_failed, kept and, for the rejected, failed_rate."""
+    df = materialize(counts(docs, id_col=id_col, text_col=text_col), "counts")
+    return verdict(df, materialize(limits(rates(df)), "limits"))
+
+
+def keep(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept. The texts are counted again beside their rows, instead of being shuffled to meet a verdict."""
+    narrow = materialize(counts(docs, id_col=id_col, text_col=text_col), "counts")
+    groups = materialize(limits(rates(narrow)), "limits")
+    # a row number keeps the filter above the counts, which it would otherwise take apart and repeat
+    rows = counts(docs, id_col=id_col, text_col=text_col, own=F.struct(*docs.columns)).withColumn("_row", F.monotonically_increasing_id())
+    return verdict(rows, groups).where(F.col("kept") & (F.col("_row") >= 0)).select("own.*")

@@ -269,3 +269,32 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     name = lambda c: ids.select(F.col("row").alias(c), F.col("doc_id").alias(f"id_{c}"))
     out = out.join(ids, "row").join(name("class_id"), "class_id").join(name("component_id"), "component_id")
     return out.select("row", "n_shingles", F.col("id_class_id").alias("class_id"), F.col("id_component_id").alias("component_id"), "doc_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stand for their component: the one with the smallest doc_id.
+
+    Rows that a bitmap of fixed size shows to stay are not shuffled. Where ids
+    repeat, rows are told apart by their texts.
+    """
+    out = materialize(join(docs, id_col=id_col, text_col=text_col, n=n, percent=percent), "components")
+    spark = docs.sparkSession
+    repeated = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if repeated:
+        rows, ids = unique_ids(docs, id_col, text_col)
+        smallest = out.groupBy("component_id").agg(F.min("row").alias("row")).select("row")
+        stay = rows.join(ids, "row").join(smallest, "row").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).distinct()
+        return docs.dropDuplicates([id_col, text_col]).join(stay, (F.col(id_col) == F.col("_id")) & F.col(text_col).eqNullSafe(F.col("_text")), "left_semi")
+    go = out.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+    sent = spark.sparkContext.broadcast(id_filter(go, "_id"))
+    split = docs.where(F.col(id_col).isNotNull()).withColumn("_bit", id_bit(id_col))
+
+    def only(on: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _slices(batches):
+                keep = passes(sent.value, batch.column(batch.num_columns - 1).to_numpy())
+                yield batch.filter(pa.array(keep if on else ~keep)).select(list(range(batch.num_columns - 1)))
+
+        return split.mapInArrow(tidy(run), docs.schema)
+
+    return only(False).unionByName(only(True).join(go, F.col(id_col) == F.col("_id"), "left_anti"))
