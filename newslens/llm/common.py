@@ -137,3 +137,14 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
                 pass  # another C library
 
     return tidied
+
+
+_HELD: dict[object, object] = {}
+
+
+def held(name: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task under a name. Another name lets it go: workers are used for all operators in turn."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]

@@ -16,6 +16,7 @@ read. An empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -26,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import held, tidy
 
 CAPACITY = 4096
 END_ID = 2
 #: Remainders that a task holds at a time, under CAPACITY ids each.
 WINDOW = 256
 #: Different words whose ids a Python worker keeps; those not met lately go first.
-KNOWN_WORDS = 2_400_000
+KNOWN_WORDS = 1_600_000
 ID_BYTES = 4
 
 #: The tokenizer's own cuts in lower-case ASCII without apostrophes, and marks after a letter.
@@ -119,17 +120,14 @@ class Encoder:
         return [b"".join(map(get, ws)) for ws in pieces]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and path."""
-    if path not in _ENCODERS:
-        import os
 
+    def make() -> Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        return Encoder(path)
+
+    return held(("encoder", path), make)
 
 
 def closest_sum(counts: dict[int, int], room: int) -> dict[int, int]:

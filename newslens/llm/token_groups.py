@@ -42,7 +42,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bit, id_filter, materialize, passes, tidy, unique_ids
+from .common import held, id_bit, id_filter, materialize, passes, tidy, unique_ids
 
 N = 4
 #: The threshold, as parts of a hundred.
@@ -54,7 +54,7 @@ MINIMA = 3
 #: Tokens that the order puts last, and within how many documents a count is lossy.
 FREQUENT = 262_144
 LOSSY = 2
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 400_000
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -70,9 +70,6 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _B
     h = (h ^ (h >> np.uint64(29))) * _C
@@ -85,7 +82,7 @@ def shingles(text: str | None, n: int = N) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(held("words", _Words).__getitem__, words), dtype=np.uint64, count=len(words))
     size = min(n, len(h))
     out = np.full(len(h) - size + 1, size, dtype=np.uint64)
     for k in range(size):
@@ -132,10 +129,8 @@ def frequent_tokens(docs: DataFrame, n: int) -> bytes:
     """The most frequent tokens, the most frequent first. Tasks count their documents, drop tokens met LOSSY times or less, and add up the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 4096):
             sets = [shingles(t, n) for t in batch.column(0).to_pylist()]
-            if not sets:
-                continue
             token, count = np.unique(np.concatenate(sets), return_counts=True)
             often = count > LOSSY
             yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(count[often], pa.int64())], names=["token", "n"])
