@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import on_documents, on_places, on_time, on_warehouse
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+_ALL: dict[str, tuple[Query, str]] = on_documents.QUERIES | on_time.QUERIES | on_places.QUERIES | on_warehouse.QUERIES
+
+
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items()}
