@@ -53,6 +53,8 @@ HALF = SIDE // 2
 #: Samples of one rank that a task sorts together at most, and rows in a run of buckets.
 HOT = 4096
 RUN = 8192
+#: Samples of one rank in a batch that are sent as one row: a frequent rank meets as batches, not as samples.
+MANY = 8
 #: Starts of strings that are looked at together in one text.
 BLOCK = 1 << 21
 
@@ -240,20 +242,38 @@ def _both(a: pa.Table, b: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _samples(docs: DataFrame) -> DataFrame:
-    """(rank, row, place)."""
+    """(rank, row, place, m, more): one row per sample; or, where a batch has MANY of a rank, one row with their number m and all of them in ``more``."""
+    schema = "rank long, row long, place long, m long, more array<struct<row:bigint,place:bigint>>"
+    pairs = pa.list_(pa.struct([("row", pa.int64()), ("place", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                out = [], [], []
-                for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for batch in batches:
+            out = [], [], []
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     place, rank = samples(_bytes(text))
                     for c, v in zip(out, (rank, np.full(len(place), row, dtype=np.int64), place)):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["rank", "row", "place"])
-
-    return docs.select("row", "text").mapInArrow(tidy(run), "rank long, row long, place long")
+            if not out[0]:
+                continue
+            rank, row, place = map(np.concatenate, out)
+            by = np.argsort(rank, kind="stable")
+            rank, row, place = rank[by], row[by], place[by]
+            starts = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]])) if len(rank) else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(starts, len(rank)))
+            often = np.repeat(sizes >= MANY, sizes)
+            few = np.flatnonzero(~often)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[few]) for c in (rank, row, place)), pa.array(np.ones(len(few), np.int64)), pa.nulls(len(few), pairs)], names=["rank", "row", "place", "m", "more"])
+            many = sizes >= MANY
+            if many.any():
+                m = sizes[many]
+                offsets = np.concatenate([[0], np.cumsum(m)]).astype(np.int32)
+                struct = pa.StructArray.from_arrays([pa.array(row[often]), pa.array(place[often])], names=["row", "place"])
+                nothing = pa.nulls(len(m), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(rank[starts[many]]), nothing, nothing, pa.array(m.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), struct)], names=["rank", "row", "place", "m", "more"])
+
+    return docs.select("row", "text").mapInArrow(tidy(run), schema)
 
 
 def _where(docs: DataFrame, bitmap: bytes) -> DataFrame:
@@ -360,7 +380,9 @@ def _cut(docs: DataFrame, with_text: bool) -> DataFrame:
 def repeats(rows: DataFrame) -> DataFrame:
     """(row, start, end) of strings that start earlier too; spans overlap. ``rows``: (row, text)."""
     by_rank = Window.partitionBy("rank")
-    again = materialize(_samples(rows).withColumn("n", F.count(F.lit(1)).over(by_rank)).where("n > 1"), "samples")
+    counted = _samples(rows).withColumn("n", F.sum("m").over(by_rank)).where("n > 1")
+    each = F.explode(F.coalesce("more", F.array(F.struct("row", "place"))))
+    again = materialize(counted.select("rank", "n", each.alias("x")).select("rank", "n", "x.row", "x.place"), "samples")
     near = _contexts(_where(rows, id_filter(again, "row")), again)
     shares = F.ceil(F.col("n") / HOT).cast("long")
     first = near.withColumn("bucket", F.when(F.col("n") > HOT, F.xxhash64("rank", F.pmod(F.xxhash64("row", "place"), shares))).otherwise(F.col("rank"))).withColumn("side", F.lit(0))
