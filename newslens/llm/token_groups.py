@@ -1,29 +1,32 @@
 """Set-similarity join of documents by n-gram Jaccard, with a token-group matrix.
 
-1. Signatures, one pass: a document's set of n-word shingles (64-bit hashes), its
-   size, a fingerprint of the set, three least hashes, and the first tokens of the
-   set in a global order that puts frequent tokens last. Equal sets are one
-   class, stood for by its smallest document.
-2. Partition. Representatives that agree in a least hash are compared with the
-   smallest of them; those that link are in a group with it, as are groups that
-   share a document. So a group holds similar documents, and many near copies
-   make few groups, without comparing all of them with each other.
-3. Token-group matrix. A group stores the union of its members' first tokens,
+1. Counts, one pass: in how many documents each token (shingle) is, over the
+   quarter of tokens with the smallest hashes, which hold nearly all first tokens.
+   Two bitmaps of fixed size keep which are in several, and which are frequent.
+2. Signatures, one pass: a document's set of n-word shingles (64-bit hashes), its
+   size, a fingerprint of the set, least hashes, and the first tokens of the set in
+   a global order: infrequent ones first, then by hash. Tokens known to be in one
+   document only are left out. Equal sets are one class, stood for by its smallest
+   document.
+3. Partition. In rounds, representatives that agree in a least hash are compared
+   with the smallest of them, unless connected already; those that link are in a
+   group with it, as are groups that share a document. So a group holds similar
+   documents, and many near copies make few groups, without comparing all of them
+   with each other.
+4. Token-group matrix. A group stores the union of its members' first tokens,
    with the range of their sizes, one row per token and group. Two sets that
    link share at least SHARED of their first tokens, if the prefix is that much
    longer than what the threshold lets them miss; so a query document whose
    tokens meet a group's union less often, or whose size is out of range, links
    with none of its members.
-4. Only qualifying groups are opened: first the query is compared with the
+5. Only qualifying groups are opened: first the query is compared with the
    group's smallest member; if the two are not connected by then, with all
    members of fitting size. Comparisons are exact, on whole sets.
-5. Components of all links found. No link between different components is lost.
+6. Components of all links found. No link between different components is lost.
 
 The order needs only be the same for all documents: it affects the number of
-groups opened, never the result. It comes from a lossy count over all
-documents, of which the FREQUENT most frequent tokens are sent to the tasks
-(2 MB). Texts are read again where sets are compared; a bitmap of fixed size
-tells which, and no text is shuffled.
+groups opened, never the result. Texts are read again where sets are compared; a
+bitmap tells which, and no text is shuffled.
 
 Rows: a document without words has an empty set and links with none. Rows with
 a null doc_id are left out. Rows that repeat a doc_id are documents of their
@@ -33,7 +36,6 @@ own, and their component is told by their doc_id. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,24 +44,27 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, id_bit, id_filter, materialize, passes, tidy, unique_ids
+from .common import BITMAP, held, id_bit, id_filter, materialize, passes, tidy, unique_ids
 
 N = 4
 #: The threshold, as parts of a hundred.
 PERCENT = 85
 #: Common first tokens that a group needs to qualify.
 SHARED = 3
-#: Least hashes by which documents are brought together.
-MINIMA = 3
-#: Tokens that the order puts last, and within how many documents a count is lossy.
-FREQUENT = 262_144
-LOSSY = 2
+#: Least hashes by which documents are brought together, and the rounds in which they are used.
+ROUNDS = ((0, 1), (2, 3, 4), (5, 6, 7))
+MINIMA = 8
+#: Documents that a frequent token is in; tokens are counted if their hash is below COUNTED.
+FREQUENT = 32
+COUNTED = np.uint64(1 << 62)
+#: Bits of the two bitmaps, 4 MB each.
+BITS = 1 << 25
 KNOWN_WORDS = 400_000
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 _C = np.uint64(0x165667B19E3779F9)
-_SEEDS = np.array([0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x9FB21C651E98DF25], dtype=np.uint64)
+_SEEDS = np.array([0x27D4EB2F165667C5 * (2 * k + 3) % (1 << 64) | 1 for k in range(MINIMA)], dtype=np.uint64)
 
 
 class _Words(dict):
@@ -95,28 +100,18 @@ def misses(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100)
 
 
-@lru_cache(maxsize=4)
-def _frequent(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    tokens = np.frombuffer(data, dtype=np.uint64)
-    by = np.argsort(tokens)
-    return tokens[by], by
+def _on(bitmap: bytes, tokens: np.ndarray) -> np.ndarray:
+    bits = (tokens & np.uint64(BITS - 1)).astype(np.int64)
+    return (np.frombuffer(bitmap, dtype=np.uint8)[bits >> 3] >> (bits & 7) & 1).astype(bool)
 
 
-def first_tokens(tokens: np.ndarray, frequent: bytes, percent: int = PERCENT) -> np.ndarray:
-    """The tokens of a sorted set that come first: the infrequent by hash, then the frequent, the least frequent first."""
-    n = len(tokens)
-    want = min(n, misses(n, percent) + SHARED)
-    known, rank = _frequent(frequent)
-    if not len(known):
-        return tokens[:want]
-    at = np.searchsorted(known, tokens)
-    at[at == len(known)] = 0
-    often = known[at] == tokens
-    rare = tokens[~often]
-    if len(rare) >= want:
-        return rare[:want]
-    late = tokens[often][np.argsort(-rank[at[often]], kind="stable")]
-    return np.concatenate([rare, late])[:want]
+def first_tokens(tokens: np.ndarray, several: bytes, frequent: bytes, percent: int = PERCENT) -> np.ndarray:
+    """The tokens of a sorted set that come first, without those that no other document has."""
+    want = min(len(tokens), misses(len(tokens), percent) + SHARED)
+    often = _on(frequent, tokens)
+    rare = tokens[~often][:want]
+    first = rare if len(rare) == want else np.concatenate([rare, tokens[often][: want - len(rare)]])
+    return first[(first >= COUNTED) | _on(several, first)]
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -125,22 +120,27 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def frequent_tokens(docs: DataFrame, n: int) -> bytes:
-    """The most frequent tokens, the most frequent first. Tasks count their documents, drop tokens met LOSSY times or less, and add up the rest."""
+def token_bitmaps(docs: DataFrame, n: int) -> tuple[bytes, bytes]:
+    """Which counted tokens are in several documents, and which in FREQUENT or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, 4096):
             sets = [shingles(t, n) for t in batch.column(0).to_pylist()]
-            token, count = np.unique(np.concatenate(sets), return_counts=True)
-            often = count > LOSSY
-            yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(count[often], pa.int64())], names=["token", "n"])
+            token, count = np.unique(np.concatenate([s[: np.searchsorted(s, COUNTED)] for s in sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count, pa.int64())], names=["token", "n"])
 
-    counts = docs.select("text").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where(f"n > {8 * LOSSY}").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toPandas()
-    return top["token"].to_numpy(dtype=np.int64).tobytes()
+    counts = docs.select("text").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
+    bit = F.col("token").bitwiseAND(F.lit(BITS - 1))
+    place = F.pmod(bit, F.lit(BITMAP))
+    parts = counts.groupBy(F.floor(bit / BITMAP).alias("b")).agg(F.bitmap_construct_agg(place).alias("several"), F.bitmap_construct_agg(F.when(F.col("n") >= FREQUENT, place)).alias("frequent")).collect()
+    out = bytearray(BITS // 8), bytearray(BITS // 8)
+    for r in parts:
+        for bits, part in zip(out, (r["several"], r["frequent"])):
+            bits[r["b"] * BITMAP // 8 : (r["b"] + 1) * BITMAP // 8] = part
+    return bytes(out[0]), bytes(out[1])
 
 
-def signatures(docs: DataFrame, frequent: Broadcast, n: int, percent: int) -> DataFrame:
+def signatures(docs: DataFrame, bitmaps: Broadcast, n: int, percent: int) -> DataFrame:
     """(row, n, f1, f2, m0.., first): size, fingerprint, least hashes and first tokens."""
     names = ["row", "n", "f1", "f2", *[f"m{k}" for k in range(MINIMA)], "first"]
 
@@ -150,8 +150,8 @@ def signatures(docs: DataFrame, frequent: Broadcast, n: int, percent: int) -> Da
             for text in batch.column(1).to_pylist():
                 s = shingles(text, n)
                 x = xxhash.xxh3_128_intdigest(s.tobytes())
-                least = [int(_mix(s * _SEEDS[k] + _A).min().view(np.int64)) if len(s) else None for k in range(MINIMA)]
-                first = first_tokens(s, frequent.value, percent).view(np.int64)
+                least = [int((s * seed).min().view(np.int64)) if len(s) else None for seed in _SEEDS]
+                first = first_tokens(s, *bitmaps.value, percent).view(np.int64)
                 for c, v in zip(cols, [len(s), (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63), *least, first]):
                     c.append(v)
             kinds = [pa.int64()] * (len(names) - 2) + [pa.list_(pa.int64())]
@@ -161,17 +161,23 @@ def signatures(docs: DataFrame, frequent: Broadcast, n: int, percent: int) -> Da
     return docs.select("row", "text").mapInArrow(tidy(run), schema)
 
 
-def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, compared on whole sets."""
+def sets_of(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """(row, tokens) of at least the rows in the pairs (a, b)."""
     ids = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row")))
     sent = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "row"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             batch = batch.filter(pa.array(passes(sent.value, batch.column(2).to_numpy())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, n).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["row", "tokens"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return materialize(docs.select("row", "text", id_bit("row").alias("bit")).mapInArrow(tidy(run), "row long, tokens binary"), "sets")
+
+
+def linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that link, compared on whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -180,9 +186,9 @@ def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    found = materialize(docs.select("row", "text", id_bit("row").alias("bit")).mapInArrow(tidy(sets), "row long, tokens binary"), "sets")
-    left = pairs.join(found.select(F.col("row").alias("a"), F.col("tokens").alias("x")), "a")
-    return left.join(found.select(F.col("row").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(tidy(compare), "a long, b long")
+    left = pairs.join(sets.select(F.col("row").alias("a"), F.col("tokens").alias("x")), "a")
+    both = left.join(sets.select(F.col("row").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+    return materialize(both.mapInArrow(tidy(run), "a long, b long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,15 +218,24 @@ def fits(a: str, b: str, percent: int) -> str:
 def links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between representatives that connect all that are connected. ``reps``: the signatures of the representatives."""
     narrow = reps.drop("first")
-    # 2. stars around the smallest document with a least hash
+    # 3. stars around the smallest document with a least hash
     stars = None
     for k in range(MINIMA):
         lead = narrow.groupBy(f"m{k}").agg(F.min(F.struct("row", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select(f"m{k}", F.col("lead.row").alias("b"), F.col("lead.n").alias("bn"))
-        star = narrow.select(F.col("row").alias("a"), F.col("n").alias("an"), f"m{k}").join(lead, f"m{k}").where("a <> b").where(fits("an", "bn", percent)).select("a", "b")
+        star = narrow.select(F.col("row").alias("a"), F.col("n").alias("an"), f"m{k}").join(lead, f"m{k}").where("a <> b").where(fits("an", "bn", percent)).select("a", "b", F.lit(k).alias("k"))
         stars = star if stars is None else stars.unionByName(star)
-    edges = materialize(linked(docs, materialize(stars.distinct(), "stars"), n, percent), "links")
-    groups = components(edges)
-    # 3. the matrix
+    stars = materialize(stars.groupBy("a", "b").agg(F.min("k").alias("k")), "stars")
+    sets = sets_of(docs, stars, n)
+    none = stars.select("a", "b").where("false")
+    edges, groups = none, None
+    for keys in ROUNDS:
+        pairs = stars.where(F.col("k").isin(*keys)).select("a", "b")
+        if groups is not None:
+            pairs = apart(pairs, groups)
+        more = linked(sets, pairs, percent)
+        edges = edges.unionByName(more)
+        groups = components(edges)
+    # 4. the matrix
     named = reps.select("row", "n", "first").join(groups, "row", "left").withColumn("g", F.coalesce("component", "row")).select("row", "n", "g", "first")
     entries = materialize(named.select("row", "n", "g", F.explode("first").alias("token")), "tokens")
     shared = entries.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
@@ -230,10 +245,9 @@ def links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     open_ = materialize(met.groupBy("row", "n", "g", "h").agg(F.count(F.lit(1)).alias("common")).where(f"common >= {SHARED}").select("row", "n", "g", "h"), "open")
     if not open_.limit(1).count():
         return edges
-    # 4. the group's smallest member first, then all members
-    pairs = open_.select(F.least("row", "h").alias("a"), F.greatest("row", "h").alias("b")).distinct()
-    more = materialize(linked(docs, materialize(pairs, "pairs"), n, percent), "links")
-    edges = edges.unionByName(more)
+    # 5. the group's smallest member first, then all members
+    pairs = materialize(open_.select(F.least("row", "h").alias("a"), F.greatest("row", "h").alias("b")).distinct(), "pairs")
+    edges = edges.unionByName(linked(sets_of(docs, pairs, n), pairs, percent))
     now = components(edges)
     name = lambda c, to: now.select(F.col("row").alias(c), F.col("component").alias(to))
     left = open_.join(name("g", "cg"), "g", "left").join(name("h", "ch"), "h", "left").where("coalesce(cg, g) <> coalesce(ch, h)").select("row", "n", "h")
@@ -241,16 +255,22 @@ def links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     rest = left.join(members, "h").where("h <> d").where(fits("n", "dn", percent)).select(F.least("row", "d").alias("a"), F.greatest("row", "d").alias("b")).distinct()
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        edges = edges.unionByName(materialize(linked(docs, rest, n, percent), "links"))
+        edges = edges.unionByName(linked(sets_of(docs, rest, n), rest, percent))
     return edges
 
 
+def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs that are not in one component."""
+    name = lambda c: groups.select(F.col("row").alias(c), F.col("component").alias(f"c{c}"))
+    return pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+
+
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (the smallest document with the same set), component_id; and row, which is doc_id unless ids repeat."""
     rows, ids = unique_ids(docs, id_col, text_col)
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_tokens(rows, n))
-    signed = materialize(signatures(rows, frequent, n, percent), "signatures")
+    bitmaps = spark.sparkContext.broadcast(token_bitmaps(rows, n))
+    signed = materialize(signatures(rows, bitmaps, n, percent), "signatures")
     same = signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("row").alias("rep"))
     same = materialize(same, "classes")
     reps = materialize(signed.join(same.select(F.col("rep").alias("row")), "row"), "representatives")
