@@ -5,23 +5,23 @@
    Two bitmaps of fixed size keep which are in several, and which are frequent.
 2. Signatures, one pass: a document's set of n-word shingles (64-bit hashes), its
    size, a fingerprint of the set, least hashes, and the first tokens of the set in
-   a global order: infrequent ones first, then by hash. Tokens known to be in one
+   a global order: infrequent counted ones by hash, then other infrequent ones, then
+   frequent ones. A document that needs more than the first of these keeps its
+   other tokens, which are counted among such documents. Tokens known to be in one
    document only are left out. Equal sets are one class, stood for by its smallest
    document.
-3. Partition. In rounds, representatives that agree in a least hash are compared
-   with the smallest of them, unless connected already; those that link are in a
-   group with it, as are groups that share a document. So a group holds similar
-   documents, and many near copies make few groups, without comparing all of them
-   with each other.
+3. Partition. Representatives that agree in a least hash are compared with the
+   smallest of them. Those that are similar at all (WEAK) are in a group with it, as
+   are groups that share a document: many near copies make one group.
 4. Token-group matrix. A group stores the union of its members' first tokens,
-   with the range of their sizes, one row per token and group. Two sets that
-   link share at least SHARED of their first tokens, if the prefix is that much
-   longer than what the threshold lets them miss; so a query document whose
-   tokens meet a group's union less often, or whose size is out of range, links
-   with none of its members.
-5. Only qualifying groups are opened: first the query is compared with the
-   group's smallest member; if the two are not connected by then, with all
-   members of fitting size. Comparisons are exact, on whole sets.
+   with the range of their sizes, one row per token and group. If two sets link,
+   their first tokens have a number in common that follows from their sizes; a
+   query document whose tokens meet a group's union less often than it would have to
+   for any size in the group's range links with none of its members.
+5. Only qualifying groups are opened, and of these only such as are not connected
+   already: a group's members and its queries are compared exactly, on whole sets,
+   in blocks of bounded size, by products of token matrices. A block gives no pairs,
+   only what connects its documents.
 6. Components of all links found. No link between different components is lost.
 
 The order needs only be the same for all documents: it affects the number of
@@ -51,9 +51,14 @@ N = 4
 PERCENT = 85
 #: Common first tokens that a group needs to qualify.
 SHARED = 3
-#: Least hashes by which documents are brought together, and the rounds in which they are used.
-ROUNDS = ((0, 1), (2, 3, 4), (5, 6, 7))
+#: Least hashes by which documents are brought together, and the similarity, in parts of a hundred, of a group's documents.
 MINIMA = 8
+WEAK = 50
+#: Documents and tokens of one part of a group; a block has two parts.
+PART = 1024
+PART_TOKENS = 4_000_000
+#: Tokens of a matrix that is multiplied at a time.
+COLUMNS = 4096
 #: Documents that a frequent token is in; tokens are counted if their hash is below COUNTED.
 FREQUENT = 32
 COUNTED = np.uint64(1 << 62)
@@ -105,13 +110,30 @@ def _on(bitmap: bytes, tokens: np.ndarray) -> np.ndarray:
     return (np.frombuffer(bitmap, dtype=np.uint8)[bits >> 3] >> (bits & 7) & 1).astype(bool)
 
 
-def first_tokens(tokens: np.ndarray, several: bytes, frequent: bytes, percent: int = PERCENT) -> np.ndarray:
-    """The tokens of a sorted set that come first, without those that no other document has."""
-    want = min(len(tokens), misses(len(tokens), percent) + SHARED)
-    often = _on(frequent, tokens)
-    rare = tokens[~often][:want]
-    first = rare if len(rare) == want else np.concatenate([rare, tokens[often][: want - len(rare)]])
-    return first[(first >= COUNTED) | _on(several, first)]
+def wanted(n: int, percent: int = PERCENT) -> int:
+    """How many first tokens a set of n needs."""
+    return min(n, misses(n, percent) + SHARED)
+
+
+def counted_first(tokens: np.ndarray, several: bytes, frequent: bytes, percent: int = PERCENT) -> tuple[np.ndarray, int, np.ndarray | None]:
+    """Of a sorted set: the infrequent counted tokens that come first, without those that no other document has; how many tokens are missing; and if any are, the others."""
+    want = wanted(len(tokens), percent)
+    cut = int(np.searchsorted(tokens, COUNTED))
+    low = tokens[:cut]
+    often = _on(frequent, low)
+    rare = low[~often][:want]
+    first = rare[_on(several, rare)]
+    if len(rare) == want:
+        return first, 0, None
+    return first, want - len(rare), np.concatenate([tokens[cut:], low[often]])
+
+
+def late_first(tokens: np.ndarray, need: int, several: bytes, frequent: bytes) -> np.ndarray:
+    """The ``need`` tokens that come next: of those not counted at first, the infrequent; then the frequent. Without those that no other document has."""
+    open_ = tokens >= COUNTED
+    often = ~open_ | _on(frequent, tokens)
+    chosen = np.concatenate([tokens[~often], np.sort(tokens[often])])[:need]
+    return chosen[(chosen < COUNTED) | _on(several, chosen)]
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -129,7 +151,12 @@ def token_bitmaps(docs: DataFrame, n: int) -> tuple[bytes, bytes]:
             token, count = np.unique(np.concatenate([s[: np.searchsorted(s, COUNTED)] for s in sets]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count, pa.int64())], names=["token", "n"])
 
-    counts = docs.select("text").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
+    return bitmaps_of(docs.select("text").mapInArrow(tidy(run), "token long, n long"))
+
+
+def bitmaps_of(tokens: DataFrame) -> tuple[bytes, bytes]:
+    """From (token, n), whose n are still to be added up: which tokens are in several documents, and which in FREQUENT or more."""
+    counts = tokens.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
     bit = F.col("token").bitwiseAND(F.lit(BITS - 1))
     place = F.pmod(bit, F.lit(BITMAP))
     parts = counts.groupBy(F.floor(bit / BITMAP).alias("b")).agg(F.bitmap_construct_agg(place).alias("several"), F.bitmap_construct_agg(F.when(F.col("n") >= FREQUENT, place)).alias("frequent")).collect()
@@ -141,8 +168,8 @@ def token_bitmaps(docs: DataFrame, n: int) -> tuple[bytes, bytes]:
 
 
 def signatures(docs: DataFrame, bitmaps: Broadcast, n: int, percent: int) -> DataFrame:
-    """(row, n, f1, f2, m0.., first): size, fingerprint, least hashes and first tokens."""
-    names = ["row", "n", "f1", "f2", *[f"m{k}" for k in range(MINIMA)], "first"]
+    """(row, n, f1, f2, m0.., need, first, late): size, fingerprint, least hashes, and first tokens as far as they are counted."""
+    names = ["row", "n", "f1", "f2", *[f"m{k}" for k in range(MINIMA)], "need", "first", "late"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -151,16 +178,33 @@ def signatures(docs: DataFrame, bitmaps: Broadcast, n: int, percent: int) -> Dat
                 s = shingles(text, n)
                 x = xxhash.xxh3_128_intdigest(s.tobytes())
                 least = [int((s * seed).min().view(np.int64)) if len(s) else None for seed in _SEEDS]
-                first = first_tokens(s, *bitmaps.value, percent).view(np.int64)
-                for c, v in zip(cols, [len(s), (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63), *least, first]):
+                first, need, late = counted_first(s, *bitmaps.value, percent)
+                for c, v in zip(cols, [len(s), (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63), *least, need, first.view(np.int64), None if late is None else late.view(np.int64)]):
                     c.append(v)
-            kinds = [pa.int64()] * (len(names) - 2) + [pa.list_(pa.int64())]
+            kinds = [pa.int64()] * (len(names) - 3) + [pa.list_(pa.int64())] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
 
-    schema = ", ".join(f"{c} long" for c in names[:-1]) + ", first array<long>"
+    schema = ", ".join(f"{c} long" for c in names[:-2]) + ", first array<long>, late array<long>"
     return docs.select("row", "text").mapInArrow(tidy(run), schema)
 
 
+def all_first(reps: DataFrame) -> DataFrame:
+    """(row, n, first) with the tokens that signatures still miss: the tokens left of these documents are counted among them."""
+    short = reps.where("need > 0").select(F.explode("late").alias("token"), F.lit(1).cast("long").alias("n"))
+    sent = reps.sparkSession.sparkContext.broadcast(bitmaps_of(short.where((F.col("token") < 0) | (F.col("token") >= int(COUNTED)))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            first = []
+            for need, early, late in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                if need:
+                    early = [*early, *late_first(np.array(late, dtype=np.int64).view(np.uint64), need, *sent.value).view(np.int64).tolist()]
+                first.append(early)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, pa.list_(pa.int64()))], names=["row", "n", "first"])
+
+    return reps.select("row", "n", "need", "first", "late").mapInArrow(tidy(run), "row long, n long, first array<long>")
+
+
 def sets_of(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """(row, tokens) of at least the rows in the pairs (a, b)."""
     ids = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row")))
@@ -174,21 +218,72 @@ def sets_of(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     return materialize(docs.select("row", "text", id_bit("row").alias("bit")).mapInArrow(tidy(run), "row long, tokens binary"), "sets")
 
 
-def linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, compared on whole sets."""
+def compared(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are similar to WEAK of a hundred, and whether they link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            keep = []
+            keep, link = [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+                keep.append(100 * both >= min(WEAK, percent) * (len(p) + len(q) - both))
+                link.append(100 * both >= percent * (len(p) + len(q) - both))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(link, pa.bool_())], names=["a", "b", "link"])
+            yield out.filter(pa.array(keep, pa.bool_()))
 
     left = pairs.join(sets.select(F.col("row").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("row").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(tidy(run), "a long, b long"), "links")
+    return materialize(both.mapInArrow(tidy(run), "a long, b long, link boolean"), "compared")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    token, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = np.cumsum(count > 1) - 1
+    some = count[column] > 1
+    row, column = row[some], place[column[some]]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for begin in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        at = slice(*np.searchsorted(column, (begin, begin + COLUMNS)))
+        x = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        x[row[at], column[at] - begin] = 1
+        out += x @ x.T
+    return out.astype(np.int64)
+
+
+def connected(rows: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is connected among the sets, one for each set but the first of a component."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    both = overlaps(sets)
+    link = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    out, left = [], np.ones(len(sets), dtype=bool)
+    while left.any():
+        start = int(np.flatnonzero(left)[0])
+        left[start] = False
+        front = [start]
+        while front:
+            k = front.pop()
+            found = np.flatnonzero(link[k] & left)
+            left[found] = False
+            out += [(int(rows[k]), int(rows[j])) for j in found]
+            front += found.tolist()
+    return out
+
+
+def opened(sets: DataFrame, jobs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the documents of each job. ``jobs``: (h, i, j, row), a bounded number of rows for each (h, i, j)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, first = np.unique(table.column("row").to_numpy(), return_index=True)
+        tokens = table.column("tokens").to_pylist()
+        edges = connected(rows, [np.frombuffer(tokens[k], dtype=np.uint64) for k in first], percent)
+        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
+
+    return materialize(jobs.join(sets, "row").groupBy("h", "i", "j").applyInArrow(run, "a long, b long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -210,59 +305,46 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("row", "component")
 
 
-def fits(a: str, b: str, percent: int) -> str:
-    """Sizes that two linked sets can have."""
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+def least_common(n: str, other: str, percent: int) -> str:
+    """First tokens that sets of n and of ``other`` tokens have in common at least, if they link; one less, for rounding."""
+    need = lambda x: f"(({percent} * {x} + 99) div 100)"
+    both = f"(({percent} * ({n} + {other}) + {99 + percent}) div {100 + percent})"
+    return f"{both} - greatest({need(n)}, {need(other)}) + {SHARED - 1}"
 
 
 def links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between representatives that connect all that are connected. ``reps``: the signatures of the representatives."""
-    narrow = reps.drop("first")
+    narrow = reps.drop("need", "first", "late")
     # 3. stars around the smallest document with a least hash
     stars = None
     for k in range(MINIMA):
         lead = narrow.groupBy(f"m{k}").agg(F.min(F.struct("row", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select(f"m{k}", F.col("lead.row").alias("b"), F.col("lead.n").alias("bn"))
-        star = narrow.select(F.col("row").alias("a"), F.col("n").alias("an"), f"m{k}").join(lead, f"m{k}").where("a <> b").where(fits("an", "bn", percent)).select("a", "b", F.lit(k).alias("k"))
+        star = narrow.select(F.col("row").alias("a"), F.col("n").alias("an"), f"m{k}").join(lead, f"m{k}").where(f"a <> b and 100 * least(an, bn) >= {WEAK} * greatest(an, bn)").select("a", "b")
         stars = star if stars is None else stars.unionByName(star)
-    stars = materialize(stars.groupBy("a", "b").agg(F.min("k").alias("k")), "stars")
-    sets = sets_of(docs, stars, n)
-    none = stars.select("a", "b").where("false")
-    edges, groups = none, None
-    for keys in ROUNDS:
-        pairs = stars.where(F.col("k").isin(*keys)).select("a", "b")
-        if groups is not None:
-            pairs = apart(pairs, groups)
-        more = linked(sets, pairs, percent)
-        edges = edges.unionByName(more)
-        groups = components(edges)
+    stars = materialize(stars.distinct(), "stars")
+    judged = compared(sets_of(docs, stars, n), stars, percent)
+    edges = judged.where("link").select("a", "b")
+    group, part = components(judged), components(edges)
     # 4. the matrix
-    named = reps.select("row", "n", "first").join(groups, "row", "left").withColumn("g", F.coalesce("component", "row")).select("row", "n", "g", "first")
-    entries = materialize(named.select("row", "n", "g", F.explode("first").alias("token")), "tokens")
-    shared = entries.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
-    entries = materialize(entries.join(shared, "token"), "shared")
-    matrix = entries.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    met = entries.join(matrix.withColumnRenamed("g", "h"), "token").where("g <> h").where(f"100 * n >= {percent} * least and 100 * most >= {percent} * n")
-    open_ = materialize(met.groupBy("row", "n", "g", "h").agg(F.count(F.lit(1)).alias("common")).where(f"common >= {SHARED}").select("row", "n", "g", "h"), "open")
-    if not open_.limit(1).count():
+    named = materialize(all_first(reps), "first").join(group.withColumnRenamed("component", "g"), "row", "left").join(part.withColumnRenamed("component", "c"), "row", "left")
+    named = materialize(named.select("row", "n", F.coalesce("g", "row").alias("g"), F.coalesce("c", "row").alias("c"), "first"), "groups")
+    entries = named.select("row", "n", "g", "c", F.explode("first").alias("token"))
+    several = entries.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
+    entries = materialize(entries.join(several, "token"), "shared")
+    matrix = entries.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    met = entries.join(matrix, "token").where("g <> h").where(f"100 * n >= {percent} * least and 100 * most >= {percent} * n")
+    met = met.groupBy("row", "n", "c", "h").agg(F.count(F.lit(1)).alias("common"), F.min("least").alias("least"), F.max("most").alias("most"))
+    met = met.withColumn("lo", F.expr(f"greatest(least, ({percent} * n + 99) div 100)")).withColumn("hi", F.expr(f"least(most, 100 * n div {percent})"))
+    queries = met.where(f"common >= least({least_common('n', 'lo', percent)}, {least_common('n', 'hi', percent)})").select("h", "row", "n", "c")
+    # 5. groups with their queries, in blocks
+    together = materialize(named.select(F.col("g").alias("h"), "row", "n", "c").unionByName(queries), "opened")
+    parts = together.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens")).where("x <> y")
+    parts = parts.select("h", F.greatest(F.ceil(F.col("size") / PART), F.ceil(F.col("tokens") / PART_TOKENS)).cast("int").alias("parts"))
+    jobs = together.join(parts, "h").withColumn("p", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    jobs = materialize(jobs.select("h", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "row"), "jobs")
+    if not jobs.limit(1).count():
         return edges
-    # 5. the group's smallest member first, then all members
-    pairs = materialize(open_.select(F.least("row", "h").alias("a"), F.greatest("row", "h").alias("b")).distinct(), "pairs")
-    edges = edges.unionByName(linked(sets_of(docs, pairs, n), pairs, percent))
-    now = components(edges)
-    name = lambda c, to: now.select(F.col("row").alias(c), F.col("component").alias(to))
-    left = open_.join(name("g", "cg"), "g", "left").join(name("h", "ch"), "h", "left").where("coalesce(cg, g) <> coalesce(ch, h)").select("row", "n", "h")
-    members = named.select(F.col("g").alias("h"), F.col("row").alias("d"), F.col("n").alias("dn"))
-    rest = left.join(members, "h").where("h <> d").where(fits("n", "dn", percent)).select(F.least("row", "d").alias("a"), F.greatest("row", "d").alias("b")).distinct()
-    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        edges = edges.unionByName(linked(sets_of(docs, rest, n), rest, percent))
-    return edges
-
-
-def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs that are not in one component."""
-    name = lambda c: groups.select(F.col("row").alias(c), F.col("component").alias(f"c{c}"))
-    return pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    return edges.unionByName(opened(sets_of(docs, jobs.select(F.col("row").alias("a"), F.col("row").alias("b")), n), jobs, percent))
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
