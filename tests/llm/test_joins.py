@@ -37,6 +37,31 @@ def test_jaccard(documents, kind):
     assert sorted({r["doc_id"] for r in out.collect()}) == sorted({c for _, _, c in got})
 
 
+@pytest.mark.parametrize("part", [3, 1024])
+def test_jaccard_large_group(documents, monkeypatch, part):
+    """One group of near copies, most of which do not link, in blocks of any size."""
+    monkeypatch.setattr(token_groups, "PART", part)
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for _ in range(rng.choice([2, 3, 4])):
+            words[rng.randrange(len(words))] = f"x{i}y{rng.random()}"
+        rows.append((i, " ".join(words)))
+    df = documents(rows)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in token_groups.join(df).collect()) == brute.jaccard(rows)
+
+
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(token_groups, "COLUMNS", 5)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(0, 40)))).astype(np.uint64) for _ in range(30)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    got = token_groups.overlaps(sets)
+    assert all(got[i][j] == want[i][j] for i in range(30) for j in range(30) if i != j)
+
+
 def test_jaccard_shared_passages(documents):
     """Documents that share much, but not enough, and chains of links."""
     passage = " ".join(f"p{k}" for k in range(80))
