@@ -148,3 +148,22 @@ def held(name: object, make: Callable[[], object]) -> object:
         _HELD.clear()
         _HELD[name] = make()
     return _HELD[name]
+
+
+class Powers:
+    """Powers of an odd number and of its inverse, modulo 2**64, for hashes of stretches from sums of prefixes."""
+
+    ODD = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << (n - 1).bit_length()
+            back = pow(self.ODD, -1, 1 << 64)
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size - 1, x, dtype=np.uint64)])) for x in (self.ODD, back))
+        return self.up[:n], self.down[:n]
+
+
+POWERS = Powers()

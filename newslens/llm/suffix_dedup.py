@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_bit, id_filter, materialize, passes, tidy, unique_ids
+from .common import POWERS, id_bit, id_filter, materialize, passes, tidy, unique_ids
 
 LENGTH = 100
 GRAM = 32
@@ -63,27 +63,9 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _PLACE = np.uint64((1 << 23) - 1)
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            back = np.uint64(pow(int(_ODD), -1, 1 << 64))
-            steps = [np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size - 1, x)])) for x in (_ODD, back)]
-            self.up, self.down = steps
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
-
-
 def gram_hashes(b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the GRAM bytes from each position."""
-    up, down = _POWERS.get(len(b))
+    up, down = POWERS.get(len(b))
     total = np.zeros(len(b) + 1, dtype=np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
     h = (total[GRAM:] - total[:-GRAM]) * down[: len(b) - GRAM + 1]

@@ -44,7 +44,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP, held, id_bit, id_filter, materialize, passes, tidy, unique_ids
+from .common import BITMAP, POWERS, id_bit, id_filter, materialize, passes, tidy, unique_ids
 
 N = 4
 #: The threshold, as parts of a hundred.
@@ -64,40 +64,56 @@ FREQUENT = 32
 COUNTED = np.uint64(1 << 62)
 #: Bits of the two bitmaps, 4 MB each.
 BITS = 1 << 25
-KNOWN_WORDS = 400_000
+#: Bytes of a text whose words are hashed together.
+BLOCK = 1 << 21
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 _C = np.uint64(0x165667B19E3779F9)
+_ONE = np.uint64(1)
+_GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _SEEDS = np.array([0x27D4EB2F165667C5 * (2 * k + 3) % (1 << 64) | 1 for k in range(MINIMA)], dtype=np.uint64)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _B
     h = (h ^ (h >> np.uint64(29))) * _C
     return h ^ (h >> np.uint64(32))
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word of a text, with A-Z in lower case."""
+    # on bytes, lower() changes A-Z only
+    a = np.frombuffer((text or "").encode().lower(), dtype=np.uint8)
+    gap = np.ones(len(a) + 2, dtype=bool)
+    gap[1:-1] = _GAP[a]
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, side="right")))
+        begin, end = int(starts[at]), int(ends[to - 1])
+        up, down = POWERS.get(end - begin)
+        total = np.zeros(end - begin + 1, dtype=np.uint64)
+        np.cumsum((a[begin:end] + _ONE) * up, out=total[1:])
+        s, e = starts[at:to] - begin, ends[at:to] - begin
+        out[at:to] = _mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _B)
+        at = to
+    return out
+
+
 def shingles(text: str | None, n: int = N) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles; the whole sequence if there are fewer words."""
-    # on bytes, lower() changes A-Z only, and split() cuts at the six white-space characters only
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(held("words", _Words).__getitem__, words), dtype=np.uint64, count=len(words))
+    h = word_hashes(text)
+    if not len(h):
+        return h
     size = min(n, len(h))
     out = np.full(len(h) - size + 1, size, dtype=np.uint64)
     for k in range(size):
         out = _mix(out * _A + h[k : len(h) - size + 1 + k])
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def misses(n: int, percent: int = PERCENT) -> int:
