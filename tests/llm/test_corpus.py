@@ -154,7 +154,7 @@ def test_deobfuscation():
     texts = ["you are an idiot and a loser with stupid trash ideas, pathetic moron"] * 50 + ["the man said that it was fine and the other people were there too"] * 200
     decoder = toxicity.Decoder(*toxicity._string_counts(texts))
     for odd, plain in (("1d10t!", "idiot"), ("s t u p i d", "stupid"), ("stuuupiiid", "stupid"), ("l.o.s.e.r", "loser"), ("tr@sh", "trash"), ("m0r0n", "moron"), ("p4th3tic", "pathetic")):
-        assert plain in decoder.restored(f"so {odd} then"), odd
+        assert plain in toxicity.words_of(f"so {odd} then", decoder), odd
     assert decoder.restored("the other people said that") == set()
 
 
