@@ -167,3 +167,16 @@ class Powers:
 
 
 POWERS = Powers()
+
+
+def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows, those with the least hashes of their id.
+
+    Where there are more, a threshold for the hash leaves not many too many, so that
+    what meets in one place is bounded by ``rows`` and not by the number of tasks.
+    """
+    total = df.count()
+    place = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30))
+    if total > rows:
+        df = df.where(place < int(min(1.0, 1.2 * rows / total) * (1 << 30)))
+    return df.orderBy(place, id_col).limit(rows)

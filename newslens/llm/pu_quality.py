@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tidy
+from .common import bounded_sample, materialize, tidy
 
 FIT_ROWS = 20_000
 HIDDEN = 24
@@ -152,7 +152,7 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 def _take(df: DataFrame) -> np.ndarray:
     """The measures of FIT_ROWS rows, chosen by a hash of their id."""
-    x = df.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(FIT_ROWS).select("x").toPandas()["x"]
+    x = bounded_sample(df, "doc_id", FIT_ROWS).select("x").toPandas()["x"]
     return np.array(x.tolist(), dtype=np.float32).reshape(-1, WIDTH)
 
 
