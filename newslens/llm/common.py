@@ -67,7 +67,7 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], salt: Column)
     on = [big[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     if spread:
         big = big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
-        renamed = renamed.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        renamed = renamed.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         on = [big[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [big["_salt"] == F.col("_s")]
     else:
         renamed = F.broadcast(renamed)
