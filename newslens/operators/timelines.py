@@ -121,3 +121,13 @@ def flatten(response: DataFrame, first_only: bool = False) -> DataFrame:
     line = response.select(F.explode(F.slice("timeline", 1, 1) if first_only else F.col("timeline")).alias("s"))
     point = line.select(F.col("s.series").alias("series"), F.explode("s.data").alias("p"))
     return point.select("series", F.col("p.date").alias("date"), F.col("p.value").cast("string").try_cast("double").alias("value")).where("date is not null and value is not null")
+
+
+def nested(points: DataFrame, title: str, width: str) -> DataFrame:
+    """A timeline as a service's response: one row with ``query_details`` and ``timeline``. For a capped result, at the end."""
+    stamped = points.withColumn("date", times.stamp(F.col("date")))
+    fields = [c for c in stamped.columns if c != "series"]
+    data = F.transform(F.sort_array(F.collect_list(F.struct("date", F.struct(*fields).alias("p")))), lambda x: x["p"])
+    line = stamped.groupBy("series").agg(data.alias("data"))
+    details = F.struct(F.lit(title).alias("title"), F.lit(width).alias("date_resolution"))
+    return line.agg(F.sort_array(F.collect_list(F.struct("series", "data"))).alias("timeline")).select(details.alias("query_details"), "timeline")

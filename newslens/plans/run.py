@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslens.functions import times
-from newslens.operators import articles, timelines
+from newslens.operators import articles, broadcasts, context, places, timelines
 
-from .query import View, matches
+from .query import Term, View, matches, parse
 
 
 @dataclass(frozen=True)
@@ -27,6 +27,13 @@ class QuerySpec:
     sort: str = "hybridrel"
     smoothing: int = 0
     service: str = "doc"
+    #: Context: quoted sentences only. Geo: least resolution, most points. TV: width, counts instead of percent, all stations as one.
+    isquote: bool = False
+    geores: int = 0
+    maxpoints: int | None = None
+    dateres: str = "day"
+    raw: bool = False
+    combined: bool = False
 
     def __post_init__(self) -> None:
         if self.timespan and (self.start or self.end):
@@ -39,7 +46,7 @@ TIMELINES = ("timelinevolraw", "timelinevol", "timelinevolinfo", "timelinetone",
 
 
 def run(df: DataFrame, view: View, spec: QuerySpec, *, date: str = "seendate", key: str = "event_id") -> DataFrame:
-    """The result of a specification over ``df``, whose columns the view names."""
+    """Articles and timelines of a specification over ``df``, whose columns the view names."""
     length = None
     if spec.timespan:
         span = times.clamped(spec.timespan, spec.service)
@@ -67,3 +74,61 @@ def run(df: DataFrame, view: View, spec: QuerySpec, *, date: str = "seendate", k
     else:
         out = timelines.by_series(df, match, date, width, {"timelinelang": "language", "timelinesourcecountry": "sourcecountry"}[spec.mode])
     return timelines.smoothed(out, spec.smoothing)
+
+
+def run_context(docs: DataFrame, view: View, spec: QuerySpec, *, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Sentences that match. ``docs`` need a text; a date only for the sorts by date, a score only for relevance."""
+    found = context.search(docs, spec.query, view, spec.isquote)
+    most = articles.capped(spec.maxrecords, "context")
+    if spec.sort == "hybridrel" and "score" not in found.columns:
+        terms = [t.value for t in parse(spec.query).of if isinstance(t, Term)]
+        found = found.withColumn("score", articles.relevance(F.col("norm"), terms))
+    return found.orderBy(articles.sort_keys(spec.sort, "context"), key, "sent_idx").limit(most).drop("norm")
+
+
+def run_geo(mentions: DataFrame, view: View, spec: QuerySpec) -> DataFrame:
+    """Places of matched articles, by mode."""
+    df = places.at_resolution(mentions, spec.geores)
+    match = matches(spec.query, view)
+    most = lambda mode: min(spec.maxpoints or places.POINTS[mode], places.POINTS[mode])
+    # the image modes are the same aggregates; their query names images
+    mode = spec.mode.removeprefix("image")
+    if mode == "pointdata":
+        return places.points(df, match, most=most("pointdata"))
+    if mode == "pointheatmap":
+        return places.heatmap(df, match, most("pointheatmap"))
+    if mode == "pointanimation":
+        return places.animation(df, match, most=most("pointanimation"))
+    keys = {"country": ("country",), "adm1": ("adm1",), "sourcecountry": ("region", "country")}
+    if mode not in keys:
+        raise ValueError(f"no mode {spec.mode!r}")
+    return places.density(df, match, *keys[mode])
+
+
+def run_tv(clips: DataFrame, view: View, spec: QuerySpec) -> DataFrame:
+    """Clips and charts, by mode."""
+    match = matches(spec.query, view)
+    if spec.mode == "clipgallery":
+        return clips.where(match).orderBy(F.desc("date"), "broadcast", "clip").limit(articles.capped(spec.maxrecords, "tv"))
+    if spec.mode == "timelinevol":
+        return timelines.smoothed(broadcasts.timeline(clips, match, spec.dateres, spec.raw, spec.combined), spec.smoothing)
+    if spec.mode == "timelinevolnorm":
+        return broadcasts.airtime(clips, spec.dateres)
+    if spec.mode == "trendingtopics":
+        return broadcasts.trending(clips, spec.start)
+    if spec.mode == "stationdetails":
+        return broadcasts.details(clips)
+    charts = {"showchart": broadcasts.shows, "stationchart": broadcasts.stations, "wordcloud": broadcasts.word_cloud}
+    if spec.mode not in charts:
+        raise ValueError(f"no mode {spec.mode!r}")
+    return charts[spec.mode](clips, match)
+
+
+SERVICES = {"doc": run, "context": run_context, "geo": run_geo, "tv": run_tv}
+
+
+def dispatch(df: DataFrame, view: View, spec: QuerySpec, **columns: str) -> DataFrame:
+    """The result of a specification, by its service."""
+    if spec.service not in SERVICES:
+        raise ValueError(f"no service {spec.service!r}")
+    return SERVICES[spec.service](df, view, spec, **columns)
