@@ -34,11 +34,12 @@ END_ID = 2
 #: Remainders that a task holds at a time, under CAPACITY ids each.
 WINDOW = 256
 #: Different words whose ids a Python worker keeps; those not met lately go first.
-KNOWN_WORDS = 1_600_000
+KNOWN_WORDS = 2_000_000
 ID_BYTES = 4
 
 #: The tokenizer's own cuts in lower-case ASCII without apostrophes, and marks after a letter.
 PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+BEYOND = re.compile("[^\\x00-\\xff]")
 TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~]+$")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
@@ -62,15 +63,22 @@ class Encoder:
             raise ValueError(f"{path} has no special token to part words by")
         self.mark_id, self.mark = min(added), added[min(added)].encode()
         self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added.values()))
+        #: What every special token begins with.
+        self.sign = os.path.commonprefix([t.encode() for t in added.values()])
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def alone(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def special(self, word: bytes) -> bool:
+        return self.sign in word and bool(self.added.search(word))
+
     def parts(self, word: bytes) -> list[bytes]:
         """A word's parts that the tokenizer takes alone, as far as ASCII shows them; else the word."""
-        if b"'" in word or self.added.search(word):
+        if word.isalpha():  # of bytes: ASCII letters only
+            return [word.lower()]
+        if b"'" in word or self.special(word):
             return [word]
         if word.isascii():
             return PARTS.findall(word.lower())
@@ -95,9 +103,9 @@ class Encoder:
                         known[p] = older[p]
                     else:
                         new.add(p)
-            if parts != [w]:
+            if len(parts) > 1 or parts[0] != w:
                 made.append((w, parts))
-        apart = [w for w in new if self.added.search(w)]
+        apart = [w for w in new if self.special(w)]
         for w in apart:
             known[w] = self.alone(w)
         together = list(new.difference(apart)) if apart else list(new)
@@ -112,9 +120,14 @@ class Encoder:
         for w, parts in made:
             known[w] = b"".join(map(get, parts))
 
+    def words(self, text: str) -> list[bytes]:
+        """A text's words, at ASCII white space only, which the tokenizer drops too. It lowers case itself; done before, fewer words differ."""
+        b = text.encode()
+        # a mark after a letter might be composed with its small form only; Latin-1 has no such marks
+        return b.lower().split() if text.isascii() or not BEYOND.search(text) else b.split()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        # bytes.split cuts at ASCII white space only, which the tokenizer drops too; it lowers case itself
-        pieces = [((t or "").encode().lower() if (t or "").isascii() else t.encode()).split() for t in texts]
+        pieces = [self.words(t or "") for t in texts]
         self.prepare(pieces)
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in pieces]
@@ -236,8 +249,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 
         def sequences() -> Iterator[list[tuple]]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for at in range(0, batch.num_rows, 768):
+                    part = batch.slice(at, 768)
                     for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
                         yield from packer.add(doc_id, ids + end)
             yield from packer.end()
