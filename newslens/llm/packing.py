@@ -34,8 +34,10 @@ END_ID = 2
 #: Remainders that a task holds at a time, under CAPACITY ids each.
 WINDOW = 256
 #: Different words whose ids a Python worker keeps; those not met lately go first.
-KNOWN_WORDS = 2_000_000
+KNOWN_WORDS = 1_600_000
 ID_BYTES = 4
+#: Pieces that a task sends at a time.
+ROWS = 1024
 
 #: The tokenizer's own cuts in lower-case ASCII without apostrophes, and marks after a letter.
 PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
@@ -231,10 +233,21 @@ def _rows(sequences: Iterable[list[tuple]], first: int, with_ids: bool) -> Itera
         for doc_id, start, ids, n in pieces:
             length = len(ids) // ID_BYTES
             row = (doc_id, start, length, zlib.crc32(ids), n, first + k, offset, total)
-            yield (*row, list(memoryview(ids).cast("I"))) if with_ids else row
+            yield (*row, ids) if with_ids else row
             offset += length
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as Arrow; ids stay bytes until here."""
+    cols = list(zip(*rows))
+    arrays = [pa.array(c, pa.int64()) for c in cols[:8]]
+    if len(cols) > 8:
+        ends = np.cumsum([0, *(len(c) // ID_BYTES for c in cols[8])]).astype(np.int32)
+        ids = np.frombuffer(b"".join(cols[8]), dtype="<u4").astype(np.int64)
+        arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)))
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """One row per piece; ``with_ids`` adds the ids themselves. ``capacity`` is a power of two."""
     schema = SCHEMA + (", ids array<long>" if with_ids else "")
@@ -249,8 +262,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 
         def sequences() -> Iterator[list[tuple]]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 768):
-                    part = batch.slice(at, 768)
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
                     for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
                         yield from packer.add(doc_id, ids + end)
             yield from packer.end()
@@ -258,10 +271,10 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         held = []
         for row in _rows(sequences(), first, with_ids):
             held.append(row)
-            if len(held) >= 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), arrow.types)], schema=arrow)
+            if len(held) >= ROWS:
+                yield _batch(held, arrow)
                 held = []
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), arrow.types)], schema=arrow)
+            yield _batch(held, arrow)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)
