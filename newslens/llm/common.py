@@ -104,19 +104,22 @@ def passes(bitmap: bytes, bits) -> np.ndarray:
     return (table[bits >> 3] >> (bits & 7) & 1).astype(bool)
 
 
-def unique_ids(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """(row, text) of the rows with an id, and (row, doc_id) where they differ.
+def unique_ids(docs: DataFrame, id_col: str, text_col: str, *, carry: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(row, text) of the rows with an id, and (row, doc_id) where they differ; with ``carry`` (row, text, own), own being all columns of ``docs``.
 
     ``row`` is unique and orders as doc_id does. It is doc_id itself where no id
-    repeats; where some do, rows are numbered in the order of id and text.
+    repeats; where some do, rows are numbered in the order of id and text. Another
+    call may number them otherwise.
     """
-    df = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = [F.struct(*docs.columns).alias("own")] if carry else []
+    df = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own)
+    kept = ["row", "text", "own"] if carry else ["row", "text"]
     repeated = df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     if not repeated:
-        return df.select(F.col("doc_id").alias("row"), "text"), None
+        return df.withColumn("row", F.col("doc_id")).select(*kept), None
     ordered = df.repartitionByRange("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 64)).sortWithinPartitions("doc_id", F.asc_nulls_first("text"))
     numbered = materialize(ordered.withColumn("row", F.monotonically_increasing_id()), "rows")
-    return numbered.select("row", "text"), numbered.select("row", "doc_id")
+    return numbered.select(*kept), numbered.select("row", "doc_id")
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

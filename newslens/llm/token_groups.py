@@ -363,10 +363,9 @@ def links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     return edges.unionByName(opened(sets_of(docs, jobs.select(F.col("row").alias("a"), F.col("row").alias("b")), n), jobs, percent))
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (the smallest document with the same set), component_id; and row, which is doc_id unless ids repeat."""
-    rows, ids = unique_ids(docs, id_col, text_col)
-    spark = docs.sparkSession
+def components_of(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(row, n_shingles, class_row, component_row) from (row, text): the smallest row with the same set, and the smallest of the component."""
+    spark = rows.sparkSession
     bitmaps = spark.sparkContext.broadcast(token_bitmaps(rows, n))
     signed = materialize(signatures(rows, bitmaps, n, percent), "signatures")
     same = signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("row").alias("rep"))
@@ -376,31 +375,30 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     found = components(edges).withColumnRenamed("row", "rep")
     classes = same.join(found, "rep", "left").select("n", "f1", "f2", "rep", F.coalesce("component", "rep").alias("component"))
     out = signed.select("row", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left")
-    out = out.select("row", F.col("n").alias("n_shingles"), F.coalesce("rep", "row").alias("class_id"), F.coalesce("component", "row").alias("component_id"))
+    return out.select("row", F.col("n").alias("n_shingles"), F.coalesce("rep", "row").alias("class_row"), F.coalesce("component", "row").alias("component_row"))
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id (the smallest document with the same set), component_id; and row, which is doc_id unless ids repeat."""
+    rows, ids = unique_ids(docs, id_col, text_col)
+    out = components_of(rows, n, percent)
     if ids is None:
-        return out.withColumn("doc_id", F.col("row"))
-    name = lambda c: ids.select(F.col("row").alias(c), F.col("doc_id").alias(f"id_{c}"))
-    out = out.join(ids, "row").join(name("class_id"), "class_id").join(name("component_id"), "component_id")
-    return out.select("row", "n_shingles", F.col("id_class_id").alias("class_id"), F.col("id_component_id").alias("component_id"), "doc_id")
+        return out.select("row", "n_shingles", F.col("class_row").alias("class_id"), F.col("component_row").alias("component_id"), F.col("row").alias("doc_id"))
+    name = lambda c: ids.select(F.col("row").alias(f"{c}_row"), F.col("doc_id").alias(f"{c}_id"))
+    out = out.join(ids, "row").join(name("class"), "class_row").join(name("component"), "component_row")
+    return out.select("row", "n_shingles", "class_id", "component_id", "doc_id")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the one with the smallest doc_id.
+    """The rows of ``docs`` that stand for their component: the one with the smallest doc_id, and of several with that id the one with the smallest text.
 
-    Rows that a bitmap of fixed size shows to stay are not shuffled. Where ids
-    repeat, rows are told apart by their texts.
+    Rows that a bitmap of fixed size shows to stay are not shuffled. Rows are numbered
+    once, with all columns where ids repeat, and told apart by that number.
     """
-    out = materialize(join(docs, id_col=id_col, text_col=text_col, n=n, percent=percent), "components")
-    spark = docs.sparkSession
-    repeated = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    if repeated:
-        rows, ids = unique_ids(docs, id_col, text_col)
-        smallest = out.groupBy("component_id").agg(F.min("row").alias("row")).select("row")
-        stay = rows.join(ids, "row").join(smallest, "row").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).distinct()
-        return docs.dropDuplicates([id_col, text_col]).join(stay, (F.col(id_col) == F.col("_id")) & F.col(text_col).eqNullSafe(F.col("_text")), "left_semi")
-    go = out.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    sent = spark.sparkContext.broadcast(id_filter(go, "_id"))
-    split = docs.where(F.col(id_col).isNotNull()).withColumn("_bit", id_bit(id_col))
+    rows, _ = unique_ids(docs, id_col, text_col, carry=True)
+    go = materialize(components_of(rows.select("row", "text"), n, percent).where("row <> component_row").select(F.col("row").alias("_row")), "copies")
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(go, "_row"))
+    split = rows.select("own.*", F.col("row").alias("_row"), id_bit("row").alias("_bit"))
 
     def only(on: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,6 +406,6 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 keep = passes(sent.value, batch.column(batch.num_columns - 1).to_numpy())
                 yield batch.filter(pa.array(keep if on else ~keep)).select(list(range(batch.num_columns - 1)))
 
-        return split.mapInArrow(tidy(run), docs.schema)
+        return split.mapInArrow(tidy(run), split.drop("_bit").schema)
 
-    return only(False).unionByName(only(True).join(go, F.col(id_col) == F.col("_id"), "left_anti"))
+    return only(False).drop("_row").unionByName(only(True).join(go, "_row", "left_anti").drop("_row"))

@@ -37,6 +37,17 @@ def test_jaccard(documents, kind):
     assert sorted({r["doc_id"] for r in out.collect()}) == sorted({c for _, _, c in got})
 
 
+def test_one_of_each_with_repeated_ids(documents, monkeypatch):
+    """Unlinked texts under one id all stay, one row of each component does, and rows are numbered once."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (9, b + " more"), (7, c), (7, c), (8, ""), (8, ""), (8, None), (11, a)]
+    calls, number = [], token_groups.unique_ids
+    monkeypatch.setattr(token_groups, "unique_ids", lambda *x, **y: calls.append(1) or number(*x, **y))
+    out = token_groups.one_of_each(documents(rows)).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in out) == [(5, a), (5, b), (7, c), (8, ""), (8, ""), (8, "")]
+    assert len(calls) == 1
+
+
 @pytest.mark.parametrize("part", [3, 1024])
 def test_jaccard_large_group(documents, monkeypatch, part):
     """One group of near copies, most of which do not link, in blocks of any size."""
