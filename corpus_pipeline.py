@@ -30,8 +30,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their target weights: a document comes once, twice, in part or not at all."""
-    return mixing.mixed(docs)
+    """Sources are brought to their target weights: a document comes once, twice, in part or not at all, in the order of the mix's shards."""
+    return mixing.mixed(docs, cut=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

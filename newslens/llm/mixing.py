@@ -10,7 +10,8 @@
    each node the blocks are permuted by a hash and the left child gets an exact
    half, so its counts are a multivariate-hypergeometric draw. A shard's blocks of
    a source follow those of the shards before it: disjoint, and none is left out.
-4. Within a shard, pieces carry a permuted place.
+4. Within a shard, pieces carry a permuted place. ``mixed`` gives the rows of the
+   mix by shard, in that order within each part of a shard that a task orders.
 
 Everything is DataFrame operations, and depends on doc_id, source and size only:
 reruns agree. Blocks are counted by the mix, not by the data, so the tree stays
@@ -35,6 +36,8 @@ REPEATS = 2
 #: Output shards, a power of two, and blocks of each.
 SHARDS = 16
 BLOCKS = 64
+#: Words of a slot, about: what a task of the mix orders.
+SLOT_WORDS = 4_000_000
 SEED = "mix-1"
 
 
@@ -79,16 +82,12 @@ def split(quotas: DataFrame, shards: int) -> DataFrame:
     return by_node
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, blocks: int = BLOCKS, carry: bool = False) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, pieces; with ``carry`` its own columns instead of the first four, and pieces.
+def sizes_of(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"), *more)
 
-    ``pieces``: array of (shard, block, turn, start, length, place): words ``start``
-    to ``start + length`` of the text on turn 0 or 1, in a block, for a shard, there
-    in the order of ``place``.
-    """
-    own = [F.struct(*docs.columns).alias("own")] if carry else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"), *own)
-    sizes = materialize(rows.drop("own"), "sizes")
+
+def plan_of(sizes: DataFrame, shards: int, blocks: int) -> DataFrame:
+    """(source, source_size, target, take, width, ends): words to take, of a block, and how many blocks of the source the shards up to each get."""
     goal = materialize(targets(sizes).withColumn("take", F.round("target").cast("long")), "targets")
     width = F.greatest(F.lit(1), F.ceil(F.sum("take").over(Window.partitionBy()) / (shards * blocks))).cast("long")
     goal = goal.withColumn("width", width).withColumn("blocks", F.ceil(F.col("take") / F.col("width")).cast("long"))
@@ -96,14 +95,33 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     leaves = F.sequence(F.lit(shards), F.lit(2 * shards - 1))
     counts = F.transform(leaves, lambda j: F.coalesce(F.element_at("m", j), F.lit(0)))
     ends = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda j: F.aggregate(F.slice("counts", 1, j), F.lit(0).cast("long"), lambda a, b: a + b))
-    plan = materialize(goal.join(shares, "rank", "left").withColumn("counts", counts).withColumn("ends", ends).select("source", "source_size", "target", "take", "width", "ends"), "plan")
+    return materialize(goal.join(shares, "rank", "left").withColumn("counts", counts).withColumn("ends", ends).select("source", "source_size", "target", "take", "width", "ends"), "plan")
 
-    dealt = lambda df: df.withColumn("h", place(F.col("doc_id"))).withColumn("bucket", F.substring("h", 1, 3))
+
+def dealt(df: DataFrame) -> DataFrame:
+    """With the place of a document in its source's stream, and its bucket."""
+    return df.withColumn("h", place(F.col("doc_id"))).withColumn("bucket", F.substring("h", 1, 3))
+
+
+def buckets_of(sizes: DataFrame) -> DataFrame:
+    """(source, bucket, bucket_size, ahead): words of a bucket, and of those before it in the stream."""
     buckets = dealt(sizes).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).cast("long").alias("ahead"))
+    return buckets.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).cast("long"))
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, pieces.
+
+    ``pieces``: array of (shard, block, turn, start, length, place): words ``start``
+    to ``start + length`` of the text on turn 0 or 1, in a block, for a shard, there
+    in the order of ``place``.
+    """
+    sizes = materialize(sizes_of(docs, id_col, text_col, source_col), "sizes")
+    plan = plan_of(sizes, shards, blocks)
+    buckets = buckets_of(sizes).select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "ahead")
     within = Window.partitionBy("source", "bucket").orderBy("h", F.asc_nulls_first("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt(rows if carry else sizes).withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)).cast("long"))
+    placed = dealt(sizes).withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)).cast("long"))
     placed = placed.join(buckets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket"))).withColumn("at", F.col("ahead") + F.col("inside")).drop("b_source", "b_bucket", "bucket", "ahead", "inside")
     known = join_small(placed, plan, ["source"], F.col("h"))
 
@@ -124,21 +142,61 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         return F.when(length > 0, F.transform(F.sequence(first, last), piece)).otherwise(none)
 
     known = known.withColumn("pieces", F.concat(*[turn(e) for e in range(REPEATS)]))
-    return known.select(*([F.col("own"), "size"] if carry else ["doc_id", "source", "size", "source_size", "target"]), "pieces")
+    return known.select("doc_id", "source", "size", "source_size", "target", "pieces")
 
 
 def taken(pieces: Column) -> Column:
     return F.aggregate(pieces, F.lit(0).cast("long"), lambda a, p: a + p["length"])
 
 
-def mixed(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
-    """The mix itself: rows of ``docs``, one for each turn of a document that it takes, with the words that it takes on that turn."""
-    rows = mix(docs, text_col=text_col, carry=True, **options)
-    length = lambda e: F.aggregate(F.filter("pieces", lambda p: p["turn"] == e), F.lit(0).cast("long"), lambda a, p: a + p["length"])
-    lengths = F.filter(F.array(*[length(e) for e in range(REPEATS)]), lambda n: n > 0)
-    rows = rows.select("own", "size", F.explode(lengths).alias("length"))
-    # one text of a source at most is cut on each turn
-    text = F.when(F.col("length") >= F.col("size"), F.col(f"own.{text_col}")).otherwise(F.array_join(F.slice(words(F.col(f"own.{text_col}")), 1, F.col("length").cast("int")), " "))
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", shards: int = SHARDS, blocks: int = BLOCKS, cut: bool = False) -> DataFrame:
+    """The mix itself: rows of ``docs`` with the words taken, in the order of the mix.
+
+    A row is what a document gives on a turn; with ``cut`` what it gives to a shard on
+    a turn, so that shards get their blocks exactly. Without, a document that a
+    border of shards runs through is whole in the shard where it begins. Tasks hold slots: a
+    shard's share of the buckets, chosen by a hash, within which rows are in the order of ``place``.
+
+    A bucket's words, and so the shards that it may meet, are known before texts move:
+    texts go to those shards at once, with one row that tells the words ahead of
+    the bucket, and a document's place is found there.
+    """
+    sizes = materialize(sizes_of(docs, id_col, text_col, source_col), "sizes")
+    plan = plan_of(sizes, shards, blocks)
+    total = plan.agg(F.sum("take")).first()[0] or 0
+    share = max(1, -(-total // (shards * SLOT_WORDS)))
+    # what a shard takes of a source's stream, in words from the begin of the first turn
+    turns = F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))).alias("turn")
+    takes = plan.where("take > 0").select("source", "source_size", "take", "width", F.posexplode("ends").alias("shard", "end"), F.concat(F.array(F.lit(0).cast("long")), "ends").alias("begins"))
+    takes = takes.select("source", "source_size", "take", "width", "shard", (F.element_at("begins", F.col("shard") + 1) * F.col("width")).alias("lo"), F.least(F.col("end") * F.col("width"), "take").alias("hi")).where("lo < hi")
+    takes = materialize(takes.select("*", turns).where("lo < (turn + 1) * source_size and hi > turn * source_size"), "takes")
+    slot = (F.col("shard") * share + F.pmod(F.xxhash64("source", "bucket", "turn"), F.lit(share))).alias("slot")
+    of = takes.select(F.col("source").alias("t_source"), "turn", "shard", "lo", "hi", "source_size", "width", "take")
+    buckets = buckets_of(sizes).where("bucket_size > 0")
+    heads = buckets.join(of, F.col("source").eqNullSafe(F.col("t_source")) & F.expr("ahead + turn * source_size < hi and ahead + bucket_size + turn * source_size > lo"))
+    heads = materialize(heads.select(slot, "turn", "shard", "source", "bucket", F.col("ahead").alias("size"), "lo", "hi", "source_size", "width", "take"), "heads")
+    ranges = heads.groupBy("source", "turn", "shard", "lo", "hi", "source_size", "width", "take").agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
+    ranges = materialize(ranges.groupBy("source").agg(F.collect_list(F.struct("turn", "shard", "lo", "hi", "source_size", "width", "take", "first", "last")).alias("ranges")), "ranges")
+
+    own = F.struct(*docs.columns).alias("own")
+    rows = join_small(dealt(sizes_of(docs, id_col, text_col, source_col, own).where("size > 0")), ranges, ["source"], F.col("h"))
+    rows = rows.withColumn("r", F.explode(F.filter("ranges", lambda r: (r["first"] <= F.col("bucket")) & (F.col("bucket") <= r["last"]))))
+    names = ["turn", "shard", "lo", "hi", "source_size", "width", "take"]
+    rows = rows.select("doc_id", "source", "size", "own", "h", "bucket", *[F.col(f"r.{c}").alias(c) for c in names]).withColumn("slot", slot)
+    # rows of one doc_id and size come in the same order for each shard and turn
+    rows = rows.withColumn("tie", F.xxhash64("own"))
+    rows = rows.unionByName(heads, allowMissingColumns=True).repartition(shards * share, "slot")
+    before = Window.partitionBy("slot", "source", "turn", "bucket", "shard").orderBy(F.asc_nulls_first("h"), F.asc_nulls_first("doc_id"), "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("began", F.sum("size").over(before) + F.col("turn") * F.col("source_size")).where("h is not null")
+    stop = F.least(F.col("began") + F.col("size"), F.col("take"), (F.col("turn") + 1) * F.col("source_size"))
+    begin = F.greatest("began", "lo")
+    rows = rows.withColumn("start", begin - F.col("began")).withColumn("length", F.least(stop, "hi") - begin).where("length > 0")
+    if not cut:
+        rows = rows.where("start = 0").withColumn("length", stop - F.col("began"))
+    rows = rows.withColumn("place", place(F.col("h"), F.floor((F.col("began") + F.col("start")) / F.col("width")).cast("long"), F.col("turn"))).sortWithinPartitions("slot", "place", "doc_id", "size", "tie")
+    # few texts are cut: where the mix or, with cut, a shard ends
+    part = F.array_join(F.slice(words(F.col(f"own.`{text_col}`")), (F.col("start") + 1).cast("int"), F.col("length").cast("int")), " ")
+    text = F.when(F.col("length") >= F.col("size"), F.col(f"own.`{text_col}`")).otherwise(part)
     out = rows.select(*[text.alias(c) if c == text_col else F.col(f"own.`{c}`").alias(c) for c in docs.columns])
     if chars_col and chars_col in docs.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))

@@ -67,6 +67,35 @@ def test_mixed_rows(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_mixed_rows_follow_the_draw(spark, monkeypatch):
+    """Each slot holds the words that the tree gives its shard, in the order of their places; another draw gives other rows."""
+    rows = [(k, " ".join(f"d{k}w{j}" for j in range(1 + k % 9)), ["a", "b", None][k % 3]) for k in range(300)] + [(3, "x y z v", "b"), (3, "p q r s", "b"), (None, "n1 n2", "a"), (700, None, "a")]
+    df = mix_rows(spark, rows)
+
+    def by_slot():
+        out = mixing.mixed(df, chars_col=None, cut=True).withColumn("task", F.spark_partition_id()).collect()
+        tasks = {}
+        for r in out:
+            tasks.setdefault(r["task"], []).append((r["doc_id"], r["text"]))
+        return tasks
+
+    got = by_slot()
+    shards = {}
+    for r in mixing.mix(df).collect():
+        for p in r["pieces"]:
+            shards[p["shard"]] = shards.get(p["shard"], 0) + p["length"]
+    # tasks hold whole shards: a shard that is alone has its words, and all have all
+    words = sorted(sum(len(t.split()) for _, t in x) for x in got.values())
+    assert sum(words) == sum(shards.values()) and len(got) > 4
+    assert sum(n in shards.values() for n in words) >= 3
+    texts = {(i, w) for i, t, _ in rows for w in (t or "").split()}
+    assert all((i, w) in texts for x in got.values() for i, t in x for w in t.split())
+    assert by_slot() == got
+    fixed = mixing.split
+    monkeypatch.setattr(mixing, "split", lambda quotas, n: fixed(quotas.withColumn("rank", -F.col("rank")), n).withColumn("rank", -F.col("rank")))
+    assert by_slot() != got
+
+
 def check_packing(rows, out, tokenizer):
     ids = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4") for _, t in rows]
     whole = sorted((i is None, i or 0, len(x), zlib.crc32(x.tobytes())) for (i, _), x in zip(rows, ids))
