@@ -104,22 +104,36 @@ def passes(bitmap: bytes, bits) -> np.ndarray:
     return (table[bits >> 3] >> (bits & 7) & 1).astype(bool)
 
 
-def unique_ids(docs: DataFrame, id_col: str, text_col: str, *, carry: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def unique_ids(docs: DataFrame, id_col: str, text_col: str, *, carry: bool = False, nulls: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """(row, text) of the rows with an id, and (row, doc_id) where they differ; with ``carry`` (row, text, own), own being all columns of ``docs``.
 
     ``row`` is unique and orders as doc_id does. It is doc_id itself where no id
     repeats; where some do, rows are numbered in the order of id and text. Another
-    call may number them otherwise.
+    call may number them otherwise. With ``nulls``, rows without an id are numbered
+    too, after all others, in the order of text.
     """
     own = [F.struct(*docs.columns).alias("own")] if carry else []
-    df = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own)
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own)
+    df, without = every.where("doc_id is not null"), every.where("doc_id is null")
     kept = ["row", "text", "own"] if carry else ["row", "text"]
+
+    def numbered(rows: DataFrame, first: int) -> DataFrame:
+        ordered = rows.repartitionByRange("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 64)).sortWithinPartitions("doc_id", F.asc_nulls_first("text"))
+        return materialize(ordered.withColumn("row", F.monotonically_increasing_id() + first), "rows")
+
     repeated = df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    if not repeated:
+    some = nulls and without.limit(1).count()
+    if not repeated and not some:
         return df.withColumn("row", F.col("doc_id")).select(*kept), None
-    ordered = df.repartitionByRange("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 64)).sortWithinPartitions("doc_id", F.asc_nulls_first("text"))
-    numbered = materialize(ordered.withColumn("row", F.monotonically_increasing_id()), "rows")
-    return numbered.select(*kept), numbered.select("row", "doc_id")
+    most = df.agg(F.max("doc_id")).first()[0] if some else None
+    if repeated or most is not None and most >= 1 << 62:
+        out = numbered(df, 0)
+        most = out.agg(F.max("row")).first()[0] if some else None
+    else:
+        out = df.withColumn("row", F.col("doc_id"))
+    if some:
+        out = out.unionByName(numbered(without, 0 if most is None else max(0, most + 1)))
+    return out.select(*kept), out.select("row", "doc_id")
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -27,9 +27,9 @@ again by 34 bytes after (a string through the sample has one of these).
 The texts are read three times and never shuffled whole: a bitmap of fixed size
 tells which documents have repeated samples or repeated strings.
 
-Rows: a null text is empty. Rows with a null doc_id are left out. Rows that
-repeat a doc_id are documents of their own, in the order of their texts. Texts
-shorter than LENGTH bytes keep all. An empty table gives no rows.
+Rows: a null text is empty. Rows that repeat a doc_id are documents of their
+own, in the order of their texts; so are rows with a null doc_id, after all
+others. Texts shorter than LENGTH bytes keep all. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -382,7 +382,7 @@ def repeats(rows: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds what is left."""
-    rows, ids = unique_ids(docs, id_col, text_col)
+    rows, ids = unique_ids(docs, id_col, text_col, nulls=True)
     spans = repeats(rows)
     bitmap = id_filter(spans, "row")
     whole = _untouched(rows, bitmap, with_text)

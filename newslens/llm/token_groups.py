@@ -28,9 +28,10 @@ The order needs only be the same for all documents: it affects the number of
 groups opened, never the result. Texts are read again where sets are compared; a
 bitmap tells which, and no text is shuffled.
 
-Rows: a document without words has an empty set and links with none. Rows with
-a null doc_id are left out. Rows that repeat a doc_id are documents of their
-own, and their component is told by their doc_id. An empty table gives no rows.
+Rows: a document without words has an empty set and links with none. Rows that
+repeat a doc_id, and rows whose doc_id is null, are documents of their own, and
+their component is told by their doc_id; null comes after all others. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -380,7 +381,7 @@ def components_of(rows: DataFrame, n: int, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (the smallest document with the same set), component_id; and row, which is doc_id unless ids repeat."""
-    rows, ids = unique_ids(docs, id_col, text_col)
+    rows, ids = unique_ids(docs, id_col, text_col, nulls=True)
     out = components_of(rows, n, percent)
     if ids is None:
         return out.select("row", "n_shingles", F.col("class_row").alias("class_id"), F.col("component_row").alias("component_id"), F.col("row").alias("doc_id"))
@@ -390,12 +391,12 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the one with the smallest doc_id, and of several with that id the one with the smallest text.
+    """The rows of ``docs`` that stand for their component: the one with the smallest doc_id (null last), and of several with that id the one with the smallest text.
 
     Rows that a bitmap of fixed size shows to stay are not shuffled. Rows are numbered
     once, with all columns where ids repeat, and told apart by that number.
     """
-    rows, _ = unique_ids(docs, id_col, text_col, carry=True)
+    rows, _ = unique_ids(docs, id_col, text_col, carry=True, nulls=True)
     go = materialize(components_of(rows.select("row", "text"), n, percent).where("row <> component_row").select(F.col("row").alias("_row")), "copies")
     sent = docs.sparkSession.sparkContext.broadcast(id_filter(go, "_row"))
     split = rows.select("own.*", F.col("row").alias("_row"), id_bit("row").alias("_bit"))

@@ -48,6 +48,20 @@ def test_one_of_each_with_repeated_ids(documents, monkeypatch):
     assert len(calls) == 1
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_rows_without_id_are_documents(documents, repeated):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (None, a), (None, b), (None, b), (None, None), (7, c)] + [(7, "x y z v w")] * repeated
+    df = documents(rows)
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in token_groups.join(df).collect())
+    assert got == sorted([(5, 57, 5), (0, 57, 5), (0, 57, 0), (0, 57, 0), (0, 0, 0), (7, 57, 7)] + [(7, 2, 7)] * repeated)
+    out = [(r["doc_id"], r["text"]) for r in token_groups.one_of_each(df).collect()]
+    assert sorted(out, key=str) == sorted([(5, a), (None, b), (None, None), (7, c)] + [(7, "x y z v w")] * repeated, key=str)
+    left = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in suffix_dedup.dedup(df).collect())
+    n = len(a)
+    assert left == sorted([(5, n, 0), (0, n, n), (0, n, 0), (0, n, n), (0, 0, 0), (7, n, 0)] + [(7, 9, 0)] * repeated)
+
+
 @pytest.mark.parametrize("part", [3, 1024])
 def test_jaccard_large_group(documents, monkeypatch, part):
     """One group of near copies, most of which do not link, in blocks of any size."""
