@@ -1,6 +1,9 @@
 """N-gram Jaccard join, suffix dedup, licenses, exact search."""
 
+import math
 import random
+from collections import Counter
+from fractions import Fraction
 
 import brute
 import numpy as np
@@ -149,12 +152,11 @@ def test_licenses(documents):
 
 
 def scores(rows, k):
-    ok = {i: np.floor(256 * np.array(v, dtype=np.float64)).astype(int) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    ok = {i: np.array([math.floor(256 * Fraction(x)) for x in v], dtype=object) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
     out = []
     for q in ok:
         if q % 5 == 0:
-            n = lambda a: min(len(a), len(ok[q]))
-            best = sorted((-int(ok[q][: n(v)] @ v[: n(v)]), i) for i, v in ok.items() if i != q)[:k]
+            best = sorted((-sum(a * b for a, b in zip(ok[q], v)), i) for i, v in ok.items() if i != q)[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
@@ -173,3 +175,31 @@ def test_maxscore(spark, kind):
     for block in (100, 7):
         got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in maxscore.top_k(df.where("vec_id % 5 = 0"), df, k=5, block=block).collect())
         assert got == scores(rows, 5)
+
+
+def test_maxscore_takes_every_finite_vector(spark):
+    """Components of any size, repeated and null ids, and columns whose names the operator uses itself."""
+    rows = [(0, [1.0, 0.0]), (1, [2.0**33, 0.0]), (2, [0.5, 0.5]), (5, [0.0, 2.0**-30]), (6, [-(2.0**40), 3e300]), (7, [1e308, 0.0]), (10, [0.25, 1e-300])]
+    rows = [r for r in rows if r[0] != 7]
+    df = spark.createDataFrame([(i, v, 1, "x", k) for k, (i, v) in enumerate(rows)] + [(None, [9.0, 9.0], 1, "x", 0)], "vec_id long, embedding array<double>, score int, rank string, query_id int").repartition(2)
+    few = lambda i: [r for r in rows if r[0] not in i]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in maxscore.top_k(df.where("vec_id in (0, 5)"), df.where("vec_id <> 6"), k=5).collect())
+    assert got == [r for r in scores(few({6}), 5) if r[0] in (0, 5)] and got[0] == (0, 1, 1, 1 << 49)
+    with pytest.raises(Exception, match="does not fit a long"):
+        maxscore.top_k(df.where("vec_id = 6"), spark.createDataFrame([(1, [0.0, 1e300])], "vec_id long, embedding array<double>")).collect()
+    again = spark.createDataFrame([(0, [1.0]), (3, [2.0]), (3, [2.0]), (3, [1.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in maxscore.top_k(again.where("vec_id = 0"), again).orderBy("rank").collect()] == [(3, 1 << 17), (3, 1 << 17), (3, 1 << 16)]
+
+
+def test_maxscore_skips():
+    """Candidates in blocks that cannot reach the threshold are not opened, and of the others few are scored on all terms."""
+    rng = np.random.default_rng(4)
+    centers = rng.normal(0, 1, (40, 32))
+    x = np.floor(32 * (centers[rng.integers(0, 40, 4000)] + rng.normal(0, 0.05, (4000, 32))))
+    shard, seen = maxscore.Shard(np.arange(4000), x), Counter()
+    bound = shard.bounds(x[:50])
+    for j in range(50):
+        best = maxscore.search_shard(shard, bound[j], j, x[j], 5, [], seen)
+        assert best == sorted(((s, i) for i, s in enumerate((x @ x[j]).tolist()) if i != j), key=lambda r: (-r[0], r[1]))[:5]
+    total = 50 * 4000
+    assert seen["skipped"] > 0.7 * total and seen["scored"] < 0.1 * total and seen["skipped"] + seen["opened"] >= total - 50
