@@ -181,12 +181,81 @@ def test_classifiers_without_much(spark, documents, labels):
 
 def test_deobfuscation():
     texts = ["you are an idiot and a loser with stupid trash ideas, pathetic moron"] * 50 + ["the man said that it was fine and the other people were there too"] * 200
-    decoder = toxicity.Decoder(*toxicity._string_counts(texts))
+    decoder = toxicity.Decoder(*toxicity.string_counts(texts))
     for odd, plain in (("1d10t!", "idiot"), ("s t u p i d", "stupid"), ("stuuupiiid", "stupid"), ("l.o.s.e.r", "loser"), ("tr@sh", "trash"), ("m0r0n", "moron"), ("p4th3tic", "pathetic")):
         assert plain in toxicity.words_of(f"so {odd} then", decoder), odd
     assert decoder.restored("the other people said that") == set()
 
 
+DISGUISES = [
+    ("1d10t!", "idiot"), ("shi7", "shit"), ("a55", "ass"), ("shi+", "shit"), ("|diot", "idiot"), ("(rap", "rap"), ("st" + "u" * 46 + "pid", "stupid"), ("idio" + "o" * 45 + "t", "idiot"),
+    ("people_" * 6 + "1d10t" + "_people" * 6, "idiot"), ("you are a s t u p i d man", "stupid"), ("y o u a r e a n i d i o t", "idiot"), ("s.t.u.p.i.d p.e.o.p.l.e", "stupid"),
+    (" ".join("the man said that the people were there and the idiot"), "idiot"), (".".join("stupidstupidstupidstupidstupid"), "stupid"), ("caf\u00e9 1d\u00e9e", "id\u00e9e"),
+]
+
+
+@pytest.mark.parametrize("odd, plain", DISGUISES)
+def test_disguises_of_any_length(odd, plain):
+    texts = ["you are an idiot and a loser with stupid trash, pathetic moron ass shit rap id\u00e9e"] * 50 + ["the man said that it was fine and the other people were there too"] * 200
+    decoder = toxicity.Decoder(*toxicity.string_counts(texts))
+    assert plain in toxicity.words_of(f"so {odd} then", decoder)
+    assert decoder.restored("fine! (the other people) said that, and more") <= {"fine", "the", "people"}
+
+
+def test_model_counts_characters():
+    """Counts are of code points, each string once, words apart from each other."""
+    assert toxicity.symbols_of("caf\u00e9 \u2014\u4e2d1_Z").tolist() == [3, 1, 6, 27, 0, 0, 27, 0, 0, 26]
+    strings, counts = toxicity.string_counts(["ab ab", "ab", None, ""])
+    b = toxicity.SYMBOLS
+    assert dict(zip(strings.tolist(), counts.tolist())) == {1: 3, b + 2: 3, (b + 2) * b: 3}
+    whole = toxicity.string_counts(["some words, and \u00e9t\u00e9 " * 40])
+    at, toxicity.CHUNK = toxicity.CHUNK, 7
+    try:
+        parts = toxicity.string_counts(["some words, and \u00e9t\u00e9 " * 40])
+    finally:
+        toxicity.CHUNK = at
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+def readings(decoder, token, spelt):
+    """All readings of a token with their prices, one by one."""
+    inner = [k for k, c in enumerate(token) if c.isalnum()]
+
+    def go(k, context, before, price, text):
+        if k == len(token):
+            yield price + (decoder.cost(context, 0) if context % toxicity.SYMBOLS else 0), text.strip()
+            return
+        c = token[k]
+        options = [(c, 0.0)] * c.isalpha() + [(x, toxicity.AS_OTHER) for x in toxicity.LOOKS.get(c, "")]
+        if not c.isalnum():
+            if spelt or not options or not inner or k <= inner[0] or k >= inner[-1]:
+                yield from go(k + 1, context, before, price + toxicity.GAP, text)
+            if context % toxicity.SYMBOLS:
+                yield from go(k + 1, 0, "", price + toxicity.GAP + decoder.cost(context, 0), text + " ")
+        if c == before:
+            yield from go(k + 1, context, before, price + toxicity.REPEAT, text)
+        for x, extra in options:
+            s = ord(x) - 96 if "a" <= x <= "z" else 27
+            yield from go(k + 1, context * toxicity.SYMBOLS % toxicity.SYMBOLS**4 + s, c, price + extra + decoder.cost(context, s), text + x)
+
+    return list(go(0, 0, "", 0.0, ""))
+
+
+def test_decoding_is_exact():
+    """Viterbi finds the cheapest of all readings."""
+    texts = ["you are an idiot and a loser with stupid trash ideas"] * 20 + ["the man said that it was fine"] * 30
+    decoder = toxicity.Decoder(*toxicity.string_counts(texts))
+    rng = np.random.default_rng(3)
+    for k in range(150):
+        token = "".join(rng.choice(list("adiot1**0$!+ s."), int(rng.integers(1, 8))))
+        spelt = bool(k % 2)
+        token = toxicity.squeezed(token)
+        every = readings(decoder, token, spelt)
+        got = decoder._decode(token, spelt)
+        prices = [p for p, text in every if text == got]
+        assert not every and got == "" or min(prices) <= min(p for p, _ in every) + 1e-9
+
+
 def test_non_negative_risk():
     """Positives among the unlabelled are found as such, though no negative was shown."""
     rng = np.random.default_rng(1)
