@@ -11,7 +11,7 @@ from newslens.functions import scalars, times
 from newslens.operators import articles, timelines
 from newslens.plans import rewrite
 from newslens.plans.query import QueryError, View, country, equals, member, number, parse, subdomain
-from newslens.plans.run import QuerySpec, run
+from newslens.plans.run import QuerySpec, run, width_of
 from newslens.sources import sinks
 
 
@@ -70,9 +70,6 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     df = df.withColumn("seendate", F.col("seendate").cast("timestamp_ntz")) if dict(df.dtypes)["seendate"] != "string" else df.withColumn("seendate", times.parse_stamp(F.col("seendate")))
     now = args.now or str(df.agg(F.max("seendate").alias("t")).first()["t"])
     shown = view(df.columns)
-    if rewrite.SORTS[args.sort] == "hybridrel" and "score" not in df.columns:
-        plain = [w for w in terms.replace("(", " ").replace(")", " ").split() if w not in ("AND", "OR", "NOT") and not w.startswith("-")]
-        df = df.withColumn("score", articles.relevance(shown.norm, plain))
     spec = QuerySpec(query, rewrite.MODES[args.mode], span, now, maxrecords=args.limit, sort=rewrite.SORTS[args.sort])
     try:
         found = run(df, shown, spec, key="url")
@@ -93,7 +90,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
                 print(scalars.display(" | ".join(x for x in (f"{k}. {r['title'] or 'Untitled'}", r["domain"] or "Unknown", when, r["sourcecountry"], r["url"]) if x)))
             return 0
         if args.json:
-            print("[" + ",\n".join(r["json"] for r in sinks.json_rows(found).collect()) + "]")
+            print(sinks.indented(sinks.json_rows(timelines.nested(found, query, width_of(spec))).first()["json"]))
         elif args.mode == "tone":
             r = timelines.tone_summary(found).first()
             print(f"Average {r['mean']:+.2f} ({r['label']}), from {r['low']:+.2f} to {r['high']:+.2f}, {r['points']} points" if r["points"] else "No tone found.")

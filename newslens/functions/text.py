@@ -60,6 +60,11 @@ def tokens(normed: Column) -> Column:
     return F.filter(F.split(normed, " "), lambda w: w != "")
 
 
+def places(normed: Column, word: str) -> Column:
+    """Where a word stands, counted in words."""
+    return F.filter(F.transform(tokens(normed), lambda w, i: F.when(w == word, i)), lambda i: i.isNotNull())
+
+
 def sentences(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
 

@@ -60,24 +60,33 @@ def effective_timespan(timespan: str | None, days: int | None) -> str:
     """A given time span goes before days; without either, a week."""
     if timespan:
         return parse_timespan(timespan)
-    return f"{days}d" if days else "7d"
+    return "7d" if days is None else f"{days}d"
 
 
 @dataclass(frozen=True)
 class TimeWindow:
-    """From ``start`` to ``end``, both included."""
+    """From ``start`` to ``end``, both included; a missing bound is open."""
 
-    start: str
-    end: str
+    start: str | None
+    end: str | None
 
     @staticmethod
-    def absolute(start: str, end: str) -> TimeWindow:
-        """From two bounds written YYYYMMDDHHMMSS."""
-        a, b = (datetime.strptime(x, "%Y%m%d%H%M%S") for x in (start, end))
-        return TimeWindow(a.isoformat(" "), b.isoformat(" "))
+    def absolute(start: str | None, end: str | None) -> TimeWindow:
+        """From bounds written YYYYMMDDHHMMSS."""
+        return TimeWindow(*(datetime.strptime(x, "%Y%m%d%H%M%S").isoformat(" ") if x else None for x in (start, end)))
 
     def holds(self, ts: Column) -> Column:
-        return (ts >= F.lit(self.start).cast("timestamp_ntz")) & (ts <= F.lit(self.end).cast("timestamp_ntz"))
+        out = F.lit(True) if self.start is None else ts >= F.lit(self.start).cast("timestamp_ntz")
+        return out if self.end is None else out & (ts <= F.lit(self.end).cast("timestamp_ntz"))
+
+    def length(self) -> timedelta | None:
+        """None if it is open."""
+        return datetime.fromisoformat(self.end) - datetime.fromisoformat(self.start) if self.start and self.end else None
+
+
+def before(now: str, span: str) -> str:
+    """The time that is a span before another; a month counts as 30 days."""
+    return (datetime.fromisoformat(now) - timedelta(seconds=seconds(span))).isoformat(" ")
 
 
 def relative(ts: Column, span: str, now: str) -> Column:

@@ -41,11 +41,14 @@ def relevance(normed: Column, terms: list[str]) -> Column:
     return n / F.log(F.lit(2.718281828459045) + F.size(text.tokens(normed)))
 
 
-def hybrid(matched: DataFrame, everything: DataFrame, outlet: str, terms: list[str], weight: float = 0.1) -> DataFrame:
-    """``matched`` with a score of relevance and of the outlet's volume."""
-    volume = everything.groupBy(outlet).agg(F.count(F.lit(1)).alias("_volume"))
-    scored = matched.join(volume, outlet)
-    return scored.withColumn("score", F.round(relevance(F.col("norm"), terms) + weight * F.log1p(F.col("_volume").cast("double")), 6)).drop("_volume")
+def hybrid(matched: DataFrame, everything: DataFrame, outlet: str | None, terms: list[str], weight: float = 0.1, norm: Column | str | None = "norm") -> DataFrame:
+    """``matched`` with a score of relevance, and of the outlet's volume in ``everything``. A row without an outlet has no volume; without a text, ``norm`` is None and volume alone counts."""
+    score = F.lit(0.0) if norm is None else relevance(F.col(norm) if isinstance(norm, str) else norm, terms)
+    if outlet is None:
+        return matched.withColumn("score", F.round(score, 6))
+    volume = everything.where(F.col(outlet).isNotNull()).groupBy(F.col(outlet).alias("_outlet")).agg(F.count(F.lit(1)).alias("_volume"))
+    rows = matched.join(volume, F.col(outlet) == F.col("_outlet"), "left")
+    return rows.withColumn("score", F.round(score + weight * F.log1p(F.coalesce("_volume", F.lit(0)).cast("double")), 6)).drop("_outlet", "_volume")
 
 
 def dedupe(df: DataFrame, key: str, *order: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +20,12 @@ def at_resolution(df: DataFrame, geores: int) -> DataFrame:
     return df.where(F.col("level") >= geores)
 
 
-def points(df: DataFrame, match: Column, articles: int = 5, most: int = POINTS["pointdata"]) -> DataFrame:
-    """Places with their number of matched articles and the first few of them."""
+def points(df: DataFrame, match: Column, articles: int = 5, most: int = POINTS["pointdata"], order: Sequence[Column] = (), named: str = "article_id") -> DataFrame:
+    """Places with their number of matched articles and the first few of them in an order, named by a column."""
     rows = df.where(match)
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*PLACE).orderBy("article_id"))).where(f"_n <= {articles}")
-    named = first.groupBy(*PLACE).agg(F.sort_array(F.collect_list("article_id")).alias("articles"))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*PLACE).orderBy(*order, "article_id"))).where(f"_n <= {articles}")
+    lists = F.sort_array(F.collect_list(F.struct("_n", F.col(named).alias("v"))))
+    named = first.groupBy(*PLACE).agg(F.transform(lists, lambda x: x["v"]).alias("articles"))
     counted = rows.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n"))
     return counted.join(named, list(PLACE)).orderBy(F.desc("n"), "adm1", "level", "lat", "lon").limit(most)
 

@@ -12,6 +12,13 @@ def cloud(df: DataFrame, match: Column, field: str, most: int = 200) -> DataFram
     return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tag").limit(most)
 
 
+def gallery(df: DataFrame, match: Column, key: str, most: int, info: bool = False) -> DataFrame:
+    """The images of matched rows, by key and place; with ``info`` what is known of each."""
+    images = df.where(match).select(key, F.posexplode("images").alias("place", "i"))
+    shown = ("ocrmeta", "webcount", "numfaces", "facetone", "tags", "webtags") if info else ("ocrmeta", "webcount")
+    return images.orderBy(key, "place").limit(most).select(key, "place", *[F.col(f"i.{c}") for c in shown])
+
+
 def together(df: DataFrame, themes: str) -> DataFrame:
     """How many rows have each two themes."""
     a = df.select(F.array_sort(F.array_distinct(themes)).alias("t"))

@@ -47,12 +47,12 @@ def with_articles(df: DataFrame, match: Column, ts: str, width: str, order: list
 
 
 def smoothed(df: DataFrame, n: int, value: str = "value") -> DataFrame:
-    """A trailing mean over n buckets of a series; 0 and 1 leave it as it is."""
+    """A trailing mean over n buckets of a series, or of all where there is one; 0 and 1 leave it as it is."""
     if not SMOOTHING[0] <= n <= SMOOTHING[1]:
         raise ValueError(f"smoothing is from {SMOOTHING[0]} to {SMOOTHING[1]}")
     if n < 2:
         return df
-    trailing = Window.partitionBy("series").orderBy("date").rowsBetween(1 - n, 0)
+    trailing = Window.partitionBy(*[c for c in ("series",) if c in df.columns]).orderBy("date").rowsBetween(1 - n, 0)
     return df.withColumn(value, F.round(F.avg(value).over(trailing), 6))
 
 

@@ -82,11 +82,12 @@ SELECT doc_id, lang, source FROM d WHERE doc_id IN (SELECT doc_id FROM m)"""
 
 def near_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proximity by a join of word places, instead of a pattern."""
-    docs = views.documents(spark, sf_dir)
-    places = docs.select("doc_id", F.posexplode(text.tokens(F.col("norm"))).alias("i", "w")).where(F.col("w").isin("of", "that"))
-    x, y = places.where("w = 'of'").alias("x"), places.where("w = 'that'").alias("y")
-    hit = x.join(y, (F.col("x.doc_id") == F.col("y.doc_id")) & (F.abs(F.col("x.i") - F.col("y.i")) <= 3)).select(F.col("x.doc_id").alias("doc_id")).distinct()
-    return docs.join(hit, "doc_id", "left_semi").select("doc_id", "lang", "source")
+    both = views.documents(spark, sf_dir).where(matches("of that", views.documents_view()))
+    place = lambda w: F.explode(text.places(F.col("norm"), w)).alias("i")
+    x = both.select("doc_id", "lang", "source", place("of")).alias("x")
+    y = both.select("doc_id", place("that")).alias("y")
+    near = (F.col("x.doc_id") == F.col("y.doc_id")) & (F.abs(F.col("x.i") - F.col("y.i")) <= 3)
+    return x.join(y, near, "left_semi").select("doc_id", "lang", "source").distinct()
 
 
 def source_country(spark: SparkSession, sf_dir: str) -> DataFrame:

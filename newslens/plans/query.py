@@ -172,6 +172,16 @@ def parse(query: str) -> And:
     return And(tuple(out))
 
 
+def terms(node: object) -> list[str]:
+    """The words and phrases that a tree asks for, in its order; not those that it excludes."""
+    match node:
+        case Term(value, _):
+            return [value]
+        case And(of) | Or(of):
+            return [t for x in of for t in terms(x)]
+    return []
+
+
 def show(node: object) -> str:
     """A tree as text that parses to the same tree."""
     match node:
@@ -206,6 +216,8 @@ class View:
     fields: dict[str, Maker] = field(default_factory=dict)
     lat: Column | None = None
     lon: Column | None = None
+    #: Columns that are there for conditions only.
+    hidden: tuple[str, ...] = ()
 
     def term(self, make: Callable[[Column], Column]) -> Column:
         if self.norm is None:
@@ -213,24 +225,24 @@ class View:
         return make(self.norm)
 
 
-def equals(column: Column) -> Maker:
-    """field:value, by lower case."""
+def equals(column: Column, folded: bool = False) -> Maker:
+    """field:value, by lower case. A column that is ``folded`` is in lower case already, so that a scan can be asked."""
 
     def make(op: str, value: str) -> Column:
         if op != ":":
             raise QueryError("this field takes a colon")
-        return F.lower(column) == value.lower()
+        return (column if folded else F.lower(column)) == value.lower()
 
     return make
 
 
-def country(name: Column, code: Column | None = None) -> Maker:
-    """A country's name in lower case without spaces, or its two-letter code."""
+def country(name: Column, code: Column | None = None, folded: bool = False) -> Maker:
+    """A country's name in lower case without spaces, or its two-letter code; ``folded`` columns are so written already."""
 
     def make(op: str, value: str) -> Column:
         key = value.lower().replace(" ", "")
-        by_name = scalars.country_key(name) == key
-        return by_name | (F.lower(code) == key) if code is not None and len(key) == 2 else by_name
+        by_name = (name if folded else scalars.country_key(name)) == key
+        return by_name | ((code if folded else F.lower(code)) == key) if code is not None and len(key) == 2 else by_name
 
     return make
 

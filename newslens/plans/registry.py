@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import on_documents, on_places, on_time, on_warehouse
+from . import on_documents, on_examples, on_places, on_time, on_warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_ALL: dict[str, tuple[Query, str]] = on_documents.QUERIES | on_time.QUERIES | on_places.QUERIES | on_warehouse.QUERIES
+_ALL: dict[str, tuple[Query, str]] = on_documents.QUERIES | on_time.QUERIES | on_places.QUERIES | on_warehouse.QUERIES | on_examples.QUERIES
 
 
 def queries() -> dict[str, Query]:

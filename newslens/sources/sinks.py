@@ -67,9 +67,13 @@ def jsonp(payload: Column, callback: str) -> Column:
     return F.concat(F.lit(callback + "("), payload, F.lit(")"))
 
 
+def indented(payload: str) -> str:
+    return json.dumps(json.loads(payload), indent=2, ensure_ascii=False)
+
+
 def preview(payload: str, lines: int = 20) -> str:
     """The first lines of a JSON text, indented."""
-    rows = json.dumps(json.loads(payload), indent=2, ensure_ascii=False).split("\n")
+    rows = indented(payload).split("\n")
     return "\n".join([*islice(rows, lines), *(["..."] if len(rows) > lines else [])])
 
 
@@ -95,3 +99,10 @@ def rss(rows: Iterable[dict], title: str, archive: bool = False) -> str:
 
 def feature_collection(features: Iterable[str]) -> str:
     return json.dumps({"type": "FeatureCollection", "features": [json.loads(f) for f in features]}, ensure_ascii=False)
+
+
+def enveloped(rows: DataFrame, query: str, mode: str, timespan: str, sort: str) -> DataFrame:
+    """The JSON document around the articles of a capped result, in the order of their addresses, as one row."""
+    found = F.sort_array(F.collect_list(F.struct("url", *[c for c in rows.columns if c != "url"])))
+    head = [F.lit(v).alias(k) for k, v in (("query", query), ("mode", mode), ("timespan", timespan), ("sort", sort))]
+    return rows.agg(found.alias("a")).select(F.to_json(F.struct(*head, F.size("a").alias("count"), F.col("a").alias("articles"))).alias("json"))

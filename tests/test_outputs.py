@@ -98,3 +98,9 @@ def test_stream_distinct(spark, tmp_path):
     feed = spark.readStream.schema("url string, seendate timestamp_ntz").parquet(str(tmp_path / "in"))
     live.drain(live.distinct(feed, "url", "seendate"), str(tmp_path / "out"), str(tmp_path / "check"))
     assert sorted(r["url"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [f"u{k}" for k in range(7)]
+
+
+def test_json_of_timelines_is_nested(spark, table, capsys):
+    assert cli.main(["(recall OR warning)", "--table", table, "--mode", "timeline", "--json"], spark) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert found["timeline"][0]["series"] == "Article Count" and sum(d["value"] for d in found["timeline"][0]["data"]) == 2 and "query_details" in found

@@ -26,6 +26,7 @@ def test_resolution(hours, want):
 
 
 def test_precedence_and_clamp():
+    assert times.effective_timespan(None, 0) == "0d"
     assert times.effective_timespan("3 weeks", 5) == "3w" and times.effective_timespan("", 5) == "5d" and times.effective_timespan(None, None) == "7d"
     assert times.clamped("2w", "geo") == "168h" and times.clamped("2d", "geo") == "2d" and times.clamped("9y", "tv") == "9y"
 
