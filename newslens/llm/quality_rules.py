@@ -2,20 +2,24 @@
 
 Per text: words, their code points, symbols, repeated lines and words in
 repeated five-word windows. Per (lang, source) a sketch of each ratio: a
-histogram with log-linear buckets (exact below 32, at most 1/16 off above), so
+histogram with log-linear buckets (exact below 128, at most 1/64 off above), so
 that sketches merge by adding counts; tasks add up their own before the
-shuffle, and a hot source meets as buckets, not rows. A group of under
-GROUP documents uses the merged sketch of its language, and a language as
-small that of all documents. A ratio's limits lie some quartile distances
-from the median, plus a slack that short clean texts need. Then documents are
+shuffle, and a hot source meets as buckets, not rows.
+
+A group's sketch is merged with PRIOR documents' worth of its language's, and that
+with as much of the sketch of all: few documents lean on their parent, many speak for themselves,
+and no size switches anything. The limits are read off the merged sketch: some quartile
+distances from the median, and never inside the lower TAIL of a hundred.
+A document is out if its own count is beyond a limit by NOISE standard deviations
+of counting, so that a short text is not judged by one or two symbols or lines. There is no fixed limit. Then documents are
 joined with the limits of their group.
 
 The texts are read once; the narrow counts are written and read again for the
 sketches and for the join.
 
-Rows: a null text has no words, and fails the base rule; so does an empty one.
+Rows: a null text has no words, and fails the base rule; so does an empty one. Long texts are counted whole.
 Null lang or source is a group of its own. Repeated rows count each time, a
-null doc_id is kept. An empty table gives no rows.
+null doc_id is kept. Other columns are not read by ``judge``, and kept by ``keep``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,11 +31,17 @@ from .common import join_small, materialize, words
 
 SYMBOLS = r"[#*$%&|<>]"
 RUN = 5
-GROUP = 200
-#: Quartile distances from the median to a limit.
+#: Leading binary digits of a sketch's buckets.
+DIGITS = 7
+#: Documents' worth of the parent's sketch that a group's is merged with.
+PRIOR = 50
+#: Quartile distances from the median to a limit, and the share of a group, in parts of a hundred, that is never beyond it.
 FENCE = 6
-#: What a limit is wider than that by: symbols per 1000 words, repeated lines per 1000, code points per 100 words.
-SLACK = {"symbol_rate": 250, "dup_line_rate": 500, "word_length": 400}
+TAIL = 90
+#: Standard deviations of counting by which a document has to be beyond a limit.
+NOISE = 3.0
+#: Ratios: scale, and the counts divided.
+RATIOS = {"symbol_rate": (1000, "n_symbols", "n_words"), "dup_line_rate": (1000, "n_dup_lines", "n_lines"), "word_length": (100, "word_chars", "n_words")}
 #: Ratios of which small values are bad too.
 TWO_SIDED = ("word_length",)
 
@@ -70,50 +80,69 @@ WITH_WORD = r"[^\x20\x09-\x0D]"
 
 def rates(df: DataFrame) -> DataFrame:
     """The ratios, as whole numbers; null where there is nothing to divide by."""
-    per = lambda scale, a, b: F.when(F.col(b) > 0, F.expr(f"({scale} * {a}) div {b}"))
-    return df.withColumn("symbol_rate", per(1000, "n_symbols", "n_words")).withColumn("dup_line_rate", per(1000, "n_dup_lines", "n_lines")).withColumn("word_length", per(100, "word_chars", "n_words"))
+    for name, (scale, a, b) in RATIOS.items():
+        df = df.withColumn(name, F.when(F.col(b) > 0, F.expr(f"({scale} * {a}) div {b}")))
+    return df
+
+
+def dropped(x: Column) -> Column:
+    """Binary digits that a value's bucket leaves out."""
+    return F.greatest(F.length(F.bin(x)) - DIGITS, F.lit(0))
 
 
 def bucket(x: Column) -> Column:
-    """Lower bound of a value's bucket: its five leading binary digits."""
-    drop = F.greatest(F.length(F.bin(x)) - 5, F.lit(0))
-    return F.when(x.isNotNull(), F.expr("1") * F.call_function("shiftleft", F.call_function("shiftright", x, drop), drop))
+    """Lower bound of a value's bucket: its leading binary digits."""
+    return F.when(x.isNotNull(), F.call_function("shiftleft", F.call_function("shiftright", x, dropped(x)), dropped(x)))
 
 
 def limits(df: DataFrame) -> DataFrame:
-    """Per (lang, source): low and high of each ratio, and which sketch they come from."""
-    names = list(SLACK)
+    """Per (lang, source): low and high of each ratio."""
+    names = list(RATIOS)
     long = df.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(n).alias("rate"), F.col(n).alias("x")) for n in names])).alias("r")).select("lang", "source", "r.rate", bucket(F.col("r.x")).alias("x")).where("x is not null")
-    sketch = materialize(long.groupBy("lang", "source", "rate", "x").agg(F.count(F.lit(1)).alias("n")), "sketch")
-    wide = Window.partitionBy("level", "lang", "source", "rate")
-    merged = sketch.select(F.lit(2).alias("level"), "lang", "source", "rate", "x", "n")
-    merged = merged.unionByName(sketch.groupBy("lang", "rate", "x").agg(F.sum("n").alias("n")).select(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source"), "rate", "x", "n"))
-    merged = merged.unionByName(sketch.groupBy("rate", "x").agg(F.sum("n").alias("n")).select(F.lit(0).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "rate", "x", "n"))
-    ranked = merged.withColumn("c", F.sum("n").over(wide.orderBy("x"))).withColumn("t", F.sum("n").over(wide))
-    quart = lambda k: F.min(F.when(4 * F.col("c") >= k * F.col("t"), F.col("x")))
-    per = ranked.groupBy("level", "lang", "source", "rate").agg(F.max("t").alias("t"), quart(1).alias("q1"), quart(2).alias("q2"), quart(3).alias("q3"))
-    slack = F.element_at(F.create_map(*[x for n in names for x in (F.lit(n), F.lit(SLACK[n]))]), F.col("rate"))
-    reach = FENCE * (F.col("q3") - F.col("q1")) + slack
-    per = per.select("level", "lang", "source", "rate", "t", (F.col("q2") + reach).alias("high"), (F.col("q2") - reach).alias("low"))
-    groups = sketch.select("lang", "source").distinct()
-    fine = per.where("level = 2").select(F.col("lang").alias("l2"), F.col("source").alias("s2"), F.col("rate").alias("r2"), F.struct("t", "high", "low").alias("v2"))
-    mid = per.where("level = 1").select(F.col("lang").alias("l1"), F.col("rate").alias("r1"), F.struct("t", "high", "low").alias("v1"))
-    top = per.where("level = 0").select(F.col("rate").alias("r0"), F.struct("t", "high", "low").alias("v0"))
-    each = groups.withColumn("rate", F.explode(F.array(*map(F.lit, names)))).join(top, F.col("rate") == F.col("r0"))
-    each = each.join(mid, F.col("lang").eqNullSafe(F.col("l1")) & (F.col("rate") == F.col("r1")), "left").join(fine, F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2")) & (F.col("rate") == F.col("r2")), "left")
-    pick = F.when(F.col("v2.t") >= GROUP, F.col("v2")).when(F.col("v1.t") >= GROUP, F.col("v1")).otherwise(F.col("v0"))
-    one = lambda n, f: F.max(F.when(F.col("rate") == n, F.col(f"v.{f}"))).alias(f"{f}_{n}")
-    return each.withColumn("v", pick).groupBy("lang", "source").agg(*[one(n, f) for n in names for f in ("high", "low")])
+    sketch = materialize(long.groupBy("lang", "source", "rate", "x").agg(F.count(F.lit(1)).cast("decimal(12,0)").alias("n2")), "sketch")
+    whole = F.sum("n").cast("decimal(12,0)")
+    mid = sketch.withColumnRenamed("n2", "n").groupBy(F.col("lang").alias("l1"), F.col("rate").alias("r1"), F.col("x").alias("x1")).agg(whole.alias("n1"))
+    top = sketch.withColumnRenamed("n2", "n").groupBy(F.col("rate").alias("r0"), F.col("x").alias("x0")).agg(whole.alias("n0"))
+    # every group meets every bucket that occurs at all; there are at most some 10,000 of these, as values have 63 binary digits
+    groups = sketch.select(F.col("lang").alias("l"), F.col("source").alias("s")).distinct()
+    grid = groups.withColumn("rate", F.explode(F.array(*map(F.lit, names)))).join(F.broadcast(top), F.col("rate") == F.col("r0")).select("l", "s", "rate", F.col("x0").alias("x"), "n0")
+    grid = grid.join(mid, F.col("l").eqNullSafe(F.col("l1")) & (grid["rate"] == F.col("r1")) & (grid["x"] == F.col("x1")), "left").select("l", "s", grid["rate"], grid["x"], "n0", "n1")
+    own = sketch.select(F.col("lang").alias("l2"), F.col("source").alias("s2"), F.col("rate").alias("r2"), F.col("x").alias("x2"), "n2")
+    grid = grid.join(own, F.col("l").eqNullSafe(F.col("l2")) & F.col("s").eqNullSafe(F.col("s2")) & (F.col("rate") == F.col("r2")) & (F.col("x") == F.col("x2")), "left")
+    zero = F.lit(0).cast("decimal(12,0)")
+    grid = grid.select("l", "s", "rate", "x", "n0", F.coalesce("n1", zero).alias("n1"), F.coalesce("n2", zero).alias("n2"))
+    every = Window.partitionBy("l", "s", "rate")
+    total = lambda n: F.sum(n).over(every).cast("decimal(12,0)")
+    prior = F.lit(PRIOR).cast("decimal(4,0)")
+    # n2 + PRIOR * (n1 + PRIOR * n0 / t0) / (t1 + PRIOR), without fractions
+    weight = (F.col("n2") * F.col("t0") * (F.col("t1") + prior) + prior * (F.col("n1") * F.col("t0") + prior * F.col("n0"))).cast("decimal(38,0)")
+    merged = grid.select("*", total("n0").alias("t0"), total("n1").alias("t1")).withColumn("w", weight)
+    ranked = merged.select("l", "s", "rate", "x", F.sum("w").over(every.orderBy("x")).cast("decimal(38,0)").alias("c"), F.sum("w").over(every).cast("decimal(38,0)").alias("t"))
+    reached = lambda k: F.min(F.when(100 * F.col("c") >= k * F.col("t"), F.col("x")))
+    per = ranked.groupBy("l", "s", "rate").agg(reached(25).alias("q1"), reached(50).alias("q2"), reached(75).alias("q3"), reached(TAIL).alias("tail"))
+    last = lambda x: F.col(x) + F.call_function("shiftleft", F.lit(1).cast("long"), dropped(F.col(x))) - 1
+    reach = FENCE * (F.col("q3") - F.col("q1"))
+    per = per.select(F.col("l").alias("lang"), F.col("s").alias("source"), "rate", F.greatest(last("tail"), last("q2") + reach).alias("high"), (F.col("q2") - reach).alias("low"))
+    one = lambda n, f: F.max(F.when(F.col("rate") == n, F.col(f))).alias(f"{f}_{n}")
+    return per.groupBy("lang", "source").agg(*[one(n, f) for n in names for f in ("high", "low")])
 
 
 def verdict(df: DataFrame, groups: DataFrame) -> DataFrame:
     """``df`` with counts, joined with the limits of its groups: adds base_failed, failed_rate (the first ratio out of its limits) and kept."""
     df = join_small(rates(df), groups, ["lang", "source"], F.struct("doc_id", "n_words"))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    bad = [F.when((F.col(n) > F.col(f"high_{n}")) | ((F.col(n) < F.col(f"low_{n}")) if n in TWO_SIDED else F.lit(False)), F.lit(n)) for n in SLACK]
-    df = df.withColumn("base_failed", base).withColumn("failed_rate", F.coalesce(*bad))
+
+    def bad(name: str) -> Column:
+        scale, a, b = RATIOS[name]
+        noise = F.lit(NOISE) * F.sqrt(F.col(a))
+        out = scale * (F.col(a) - noise) > F.col(f"high_{name}") * F.col(b)
+        if name in TWO_SIDED:
+            out = out | (scale * (F.col(a) + noise) < F.col(f"low_{name}") * F.col(b))
+        return F.when((F.col(b) > 0) & out, F.lit(name))
+
+    df = df.withColumn("base_failed", base).withColumn("failed_rate", F.coalesce(*map(bad, RATIOS)))
     kept = ~F.col("base_failed") & F.col("failed_rate").isNull()
-    return df.withColumn("kept", kept).drop(*[f"{f}_{n}" for n in SLACK for f in ("high", "low")])
+    return df.withColumn("kept", kept).drop(*[f"{f}_{n}" for n in RATIOS for f in ("high", "low")])
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -117,24 +117,28 @@ c AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(len
 k AS (SELECT *, CASE WHEN n_words > 0 THEN (1000 * n_symbols) // n_words END AS symbol_rate,
              CASE WHEN n_lines > 0 THEN (1000 * n_dup_lines) // n_lines END AS dup_line_rate,
              CASE WHEN n_words > 0 THEN (100 * word_chars) // n_words END AS word_length FROM c),
-x AS (SELECT lang, source, rate, (v >> s) << s AS x, count(*) AS n
-      FROM (SELECT lang, source, rate, v, greatest(length(bin(v)) - 5, 0) AS s FROM
+x AS (SELECT lang, source, rate, (v >> s) << s AS x, s, count(*) AS n
+      FROM (SELECT lang, source, rate, v, greatest(length(bin(v)) - 7, 0) AS s FROM
             (SELECT lang, source, 'symbol_rate' AS rate, symbol_rate AS v FROM k UNION ALL SELECT lang, source, 'dup_line_rate', dup_line_rate FROM k
              UNION ALL SELECT lang, source, 'word_length', word_length FROM k) WHERE v IS NOT NULL) GROUP BY ALL),
-m AS (SELECT 2 AS lev, lang, source, rate, x, n FROM x UNION ALL SELECT 1, lang, NULL, rate, x, sum(n) FROM x GROUP BY lang, rate, x
-      UNION ALL SELECT 0, NULL, NULL, rate, x, sum(n) FROM x GROUP BY rate, x),
-q AS (SELECT *, sum(n) OVER (PARTITION BY lev, lang, source, rate ORDER BY x) AS c, sum(n) OVER (PARTITION BY lev, lang, source, rate) AS t FROM m),
-p AS (SELECT lev, lang, source, rate, max(t) AS t, min(x) FILTER (4 * c >= t) AS q1, min(x) FILTER (4 * c >= 2 * t) AS q2, min(x) FILTER (4 * c >= 3 * t) AS q3
-      FROM q GROUP BY lev, lang, source, rate),
-f AS (SELECT lev, lang, source, rate, t, q2 + 6 * (q3 - q1) + CASE rate WHEN 'symbol_rate' THEN 250 WHEN 'dup_line_rate' THEN 500 ELSE 400 END AS high,
-             q2 - 6 * (q3 - q1) - CASE rate WHEN 'symbol_rate' THEN 250 WHEN 'dup_line_rate' THEN 500 ELSE 400 END AS low FROM p),
-o AS (SELECT k.*, z.rate, coalesce(CASE WHEN f2.t >= 200 THEN f2.high WHEN f1.t >= 200 THEN f1.high ELSE f0.high END) AS high,
-             CASE WHEN f2.t >= 200 THEN f2.low WHEN f1.t >= 200 THEN f1.low ELSE f0.low END AS low
-      FROM k CROSS JOIN (VALUES ('symbol_rate'), ('dup_line_rate'), ('word_length')) z(rate)
-      LEFT JOIN f f2 ON f2.lev = 2 AND f2.rate = z.rate AND f2.lang IS NOT DISTINCT FROM k.lang AND f2.source IS NOT DISTINCT FROM k.source
-      LEFT JOIN f f1 ON f1.lev = 1 AND f1.rate = z.rate AND f1.lang IS NOT DISTINCT FROM k.lang LEFT JOIN f f0 ON f0.lev = 0 AND f0.rate = z.rate),
+h1 AS (SELECT lang, rate, x, sum(n) AS n FROM x GROUP BY lang, rate, x),
+h0 AS (SELECT rate, x, s, sum(n) AS n FROM x GROUP BY rate, x, s),
+m AS (SELECT g.lang, g.source, h0.rate, h0.x, h0.s, coalesce(x.n, 0)::HUGEINT AS n2, coalesce(h1.n, 0)::HUGEINT AS n1, h0.n::HUGEINT AS n0,
+             sum(coalesce(h1.n, 0)) OVER w AS t1, sum(h0.n) OVER w AS t0
+      FROM (SELECT DISTINCT lang, source FROM x) g CROSS JOIN h0
+      LEFT JOIN h1 ON h1.lang IS NOT DISTINCT FROM g.lang AND h1.rate = h0.rate AND h1.x = h0.x
+      LEFT JOIN x ON x.lang IS NOT DISTINCT FROM g.lang AND x.source IS NOT DISTINCT FROM g.source AND x.rate = h0.rate AND x.x = h0.x
+      WINDOW w AS (PARTITION BY g.lang, g.source, h0.rate)),
+q AS (SELECT lang, source, rate, x, x + (1 << s) - 1 AS last, sum(w) OVER (PARTITION BY lang, source, rate ORDER BY x) AS c, sum(w) OVER (PARTITION BY lang, source, rate) AS t
+      FROM (SELECT *, n2 * t0 * (t1 + 50) + 50 * (n1 * t0 + 50 * n0) AS w FROM m)),
+p AS (SELECT lang, source, rate, min(x) FILTER (100 * c >= 25 * t) AS q1, min(x) FILTER (100 * c >= 50 * t) AS q2, min(last) FILTER (100 * c >= 50 * t) AS q2_last,
+             min(x) FILTER (100 * c >= 75 * t) AS q3, min(last) FILTER (100 * c >= 90 * t) AS tail FROM q GROUP BY lang, source, rate),
+f AS (SELECT lang, source, rate, greatest(tail, q2_last + 6 * (q3 - q1)) AS high, q2 - 6 * (q3 - q1) AS low FROM p),
+o AS (SELECT k.*, f.rate, f.high, f.low FROM k LEFT JOIN f ON f.lang IS NOT DISTINCT FROM k.lang AND f.source IS NOT DISTINCT FROM k.source),
 b AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-             bool_or(coalesce(CASE rate WHEN 'symbol_rate' THEN symbol_rate > high WHEN 'dup_line_rate' THEN dup_line_rate > high ELSE word_length > high OR word_length < low END, FALSE)) AS bad
+             bool_or(coalesce(CASE rate WHEN 'symbol_rate' THEN n_words > 0 AND 1000 * (n_symbols - 3::DOUBLE * sqrt(n_symbols)) > high * n_words
+                                        WHEN 'dup_line_rate' THEN n_lines > 0 AND 1000 * (n_dup_lines - 3::DOUBLE * sqrt(n_dup_lines)) > high * n_lines
+                                        ELSE n_words > 0 AND (100 * (word_chars - 3::DOUBLE * sqrt(word_chars)) > high * n_words OR 100 * (word_chars + 3::DOUBLE * sqrt(word_chars)) < low * n_words) END, FALSE)) AS bad
       FROM o GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM b
 """

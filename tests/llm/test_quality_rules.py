@@ -40,5 +40,27 @@ def test_thresholds_follow_the_source(spark):
     assert not out[5000] and all(out[1000 + k] for k in range(250)) and all(out[k] for k in range(250))
 
 
+def test_limits_come_from_the_sketches(spark):
+    """Sources differ in the limits of every ratio; a small one leans on its language without a jump; no symbol-free source rejects a long text for a few symbols."""
+    word = "abcdefghijklmnop"
+
+    def text(k, long, symbols, lines):
+        body = " ".join(f"{word[: long + (k + j) % 3]}{k}x{j}" for j in range(40))
+        return body + " #" * (k % symbols) + "\nsame line" * (k % lines) + f"\nend {k}"
+
+    rows = [(k, text(k, 3, 2, 3), "en", "plain", 0) for k in range(400)] + [(1000 + k, text(k, 8, 12, 9), "en", "dense", 0) for k in range(400)]
+    rows += [(3000 + k, text(k, 3, 2, 3), "en", f"small{n}", 0) for n in (1, 20) for k in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["source"]: r for r in quality_rules.limits(quality_rules.rates(quality_rules.counts(df))).collect()}
+    for name in quality_rules.RATIOS:
+        high = {s: found[s][f"high_{name}"] for s in found}
+        assert high["plain"] < high["dense"], name
+        assert min(high["plain"], high["dense"]) <= high["small20"] <= max(high.values()) and abs(high["small1"] - high["small20"]) <= high["dense"] - high["plain"]
+    clean = [(k, CLEAN.format(k=f"w{k}"), "en", "s", 0) for k in range(300)] + [(900, " ".join(CLEAN.format(k=f"v{j}") for j in range(100)) + " # $ %", "en", "s", 0), (901, "l e t t e r s " * 1 + " ".join(map(chr, range(97, 123))), "en", "s", 0)]
+    kept = {r["doc_id"]: (r["kept"], r["failed_rate"]) for r in quality_rules.judge(spark.createDataFrame(clean, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert kept[900][0] is False or kept[900][1] is None
+    assert kept[901] == (False, "word_length") and all(kept[k][0] for k in range(300))
+
+
 def test_empty(documents):
     assert quality_rules.judge(documents([])).count() == 0 and quality_rules.keep(documents([])).count() == 0
