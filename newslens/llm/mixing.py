@@ -20,7 +20,8 @@ as small at any size, and a cut between blocks may run through a document.
 Rows: a null text or one without words has size 0 and no piece. A null source
 is a source of its own. Rows with one doc_id are told apart by size, and by
 nothing else where these agree too (then each is taken alike or in turn). A
-null doc_id is ordered as an empty one. An empty table gives no rows.
+null doc_id is ordered as an empty one. A very long text is cut between blocks and shards as any other.
+Other columns, whatever their names, are not read by ``mix`` and kept by ``mixed``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -149,6 +150,11 @@ def taken(pieces: Column) -> Column:
     return F.aggregate(pieces, F.lit(0).cast("long"), lambda a, p: a + p["length"])
 
 
+def digest(pieces: Column) -> Column:
+    """The pieces in words: shard:block:turn:start:length, by turn and block, joined by commas."""
+    return F.array_join(F.transform(pieces, lambda p: F.concat_ws(":", *[p[f].cast("string") for f in ("shard", "block", "turn", "start", "length")])), ",")
+
+
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", shards: int = SHARDS, blocks: int = BLOCKS, cut: bool = False) -> DataFrame:
     """The mix itself: rows of ``docs`` with the words taken, in the order of the mix.
 

@@ -47,7 +47,7 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", mixing.taken(F.col("pieces")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", mixing.taken(F.col("pieces")).alias("taken"), mixing.digest(F.col("pieces")).alias("pieces"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,19 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+
+
+def _tree_sql(levels: int = 4, blocks: int = 64) -> str:
+    """The splitting tree, one level after another: blocks of a source that each shard gets (n), and where they end (stop)."""
+    steps = [f"wide AS (SELECT greatest(1, ceil(sum(round(target)) / {blocks << levels}))::BIGINT AS width FROM goal)", "n0 AS (SELECT 1 AS node, rnk, ceil(round(target) / width)::BIGINT AS n FROM goal, wide)"]
+    for k in range(levels):
+        steps.append(f"u{k} AS (SELECT node, rnk, unnest(range(1, n + 1)) AS k FROM n{k} WHERE n > 0)")
+        steps.append(f"d{k} AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY md5('mix-1:' || node || ':' || rnk || ':' || k), rnk, k) AS turn, count(*) OVER (PARTITION BY node) AS c FROM u{k})")
+        steps.append(f"l{k} AS (SELECT node, rnk, count(*) FILTER (turn <= (c + 1) // 2) AS l, count(*) AS n FROM d{k} GROUP BY node, rnk)")
+        steps.append(f"n{k + 1} AS (SELECT 2 * node AS node, rnk, l AS n FROM l{k} WHERE l > 0 UNION ALL SELECT 2 * node + 1, rnk, n - l FROM l{k} WHERE n > l)")
+    return ",\n".join(steps) + f",\nleaf AS (SELECT node - {1 << levels} AS shard, rnk, n, sum(n) OVER (PARTITION BY rnk ORDER BY node) AS stop FROM n{levels})"
+
+
 OP5_SQL = r"""
 WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
@@ -95,12 +108,19 @@ weighed AS (SELECT *, CAST([3, 1, 2][(rnk - 1) % 3 + 1] AS DOUBLE) AS weight, 2
 lev AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS per_weight
         FROM weighed WINDOW b AS (ORDER BY cap / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 fill AS (SELECT arg_min(per_weight, cap / weight) AS level FROM lev WHERE cap > weight * per_weight),
-goal AS (SELECT source, source_size, CASE WHEN level IS NULL OR cap <= weight * level THEN cap ELSE weight * level END AS target FROM lev, fill),
+goal AS (SELECT source, source_size, rnk, CASE WHEN level IS NULL OR cap <= weight * level THEN cap ELSE weight * level END AS target FROM lev, fill),
 placed AS (SELECT sizes.*, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM sizes),
-pos AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM placed)
-SELECT pos.doc_id, pos.size, goal.source_size, goal.target,
-       CAST(least(size, greatest(0, round(target) - a)) + least(size, greatest(0, round(target) - a - source_size)) AS BIGINT) AS taken
-FROM pos JOIN goal ON pos.source IS NOT DISTINCT FROM goal.source
+pos AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM placed),
+{tree},
+spot AS (SELECT pos.doc_id, pos.size, goal.source_size, goal.target, goal.rnk, wide.width, pos.a + e * goal.source_size AS began, e, round(goal.target)::BIGINT AS take
+       FROM pos JOIN goal ON pos.source IS NOT DISTINCT FROM goal.source CROSS JOIN wide CROSS JOIN (VALUES (0), (1)) t(e)),
+lengths AS (SELECT *, greatest(0, least(size, take - began))::BIGINT AS length FROM spot),
+cut AS (SELECT *, unnest(range(CAST(began // width AS BIGINT), CAST((began + length - 1) // width + 1 AS BIGINT))) AS b FROM lengths WHERE length > 0),
+piece AS (SELECT cut.doc_id, shard || ':' || b || ':' || e || ':' || (greatest(began, b * width) - began)::BIGINT || ':' || (least(began + length, (b + 1) * width) - greatest(began, b * width))::BIGINT AS piece, e, b
+          FROM cut JOIN leaf ON leaf.rnk = cut.rnk AND b >= leaf.stop - leaf.n AND b < leaf.stop),
+listed AS (SELECT doc_id, string_agg(piece, ',' ORDER BY e, b) AS pieces FROM piece GROUP BY doc_id)
+SELECT lengths.doc_id, size, source_size, target, sum(length)::BIGINT AS taken, coalesce(any_value(pieces), '') AS pieces
+FROM lengths LEFT JOIN listed ON listed.doc_id IS NOT DISTINCT FROM lengths.doc_id GROUP BY lengths.doc_id, size, source_size, target
 """
 
 OP2_SQL = r"""
@@ -149,4 +169,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op3_license_scan": licenses.oracle(), "op5_mix_sources": OP5_SQL, "op7_maxscore_topk": OP7_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op3_license_scan": licenses.oracle(), "op5_mix_sources": OP5_SQL.replace("{tree}", _tree_sql()), "op7_maxscore_topk": OP7_SQL}
