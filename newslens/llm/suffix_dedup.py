@@ -21,11 +21,13 @@ suffixes, in the manner of difference-cover construction:
 
 A bucket of more than HOT samples is dealt into shares first. Within a share,
 strings met before are repeats; samples with a string that is the first in its
-share go on to a second round, dealt by rank and a further 34 bytes before, and
-again by 34 bytes after (a string through the sample has one of these).
+share go on to another round, each for both halves of the strings through it, dealt by
+the bytes that all strings of a half have in common. Rounds go on until no bucket
+is larger than HOT: a common string is told once by each share, so what is left of it
+shrinks by that factor every time. Strings are compared by all their bytes; hashes only say where they meet.
 
-The texts are read three times and never shuffled whole: a bitmap of fixed size
-tells which documents have repeated samples or repeated strings.
+The texts are read three times. Those with repeated samples or repeated strings, which a bitmap
+of fixed size tells, are shuffled once to meet the places.
 
 Rows: a null text is empty. Rows that repeat a doc_id are documents of their
 own, in the order of their texts; so are rows with a null doc_id, after all
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import POWERS, id_bit, id_filter, materialize, passes, tidy, unique_ids
@@ -48,8 +50,6 @@ LENGTH = 100
 GRAM = 32
 #: Bytes of context on either side of a sample.
 SIDE = LENGTH - GRAM
-#: Bytes of a context by which the second round deals.
-HALF = SIDE // 2
 #: Samples of one rank that a task sorts together at most, and rows in a run of buckets.
 HOT = 4096
 RUN = 8192
@@ -122,11 +122,11 @@ def _sorted(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.lexsort([*words.T[::-1], group])
 
 
-def repeated(group: np.ndarray, before: np.ndarray, after: np.ndarray, n_before: np.ndarray, n_after: np.ndarray, side: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For samples in the order of groups, documents and places: least and greatest part before of a string that occurred earlier in the group (-1: none), and whether any string is a first one.
+def repeated(group: np.ndarray, before: np.ndarray, after: np.ndarray, n_before: np.ndarray, n_after: np.ndarray, parts: tuple[int, int] = (0, SIDE)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For samples in the order of documents and places: least and greatest part before of a string that occurred earlier in the group (-1: none), and whether any string is a first one.
 
-    ``before`` holds the SIDE bytes before, last byte first. ``side`` -1 or 1 looks
-    at those strings only with HALF bytes before, or HALF after.
+    ``before`` holds the SIDE bytes before, last byte first. Strings with a part before
+    within ``parts``, both ends included, are looked at.
     """
     m = len(group)
     lo, hi = np.full(m, -1), np.full(m, -1)
@@ -134,10 +134,8 @@ def repeated(group: np.ndarray, before: np.ndarray, after: np.ndarray, n_before:
     orders = [_sorted(x, group) for x in (before, after)]
     common = [_lengths(x, group, o) for x, o in zip((before, after), orders)]
     places = np.arange(m)
-    for part in range(SIDE + 1):
+    for part in range(parts[0], parts[1] + 1):
         rest = SIDE - part
-        if side < 0 and part < HALF or side > 0 and rest < HALF:
-            continue
         valid = (n_before >= part) & (n_after >= rest)
         if not valid.any():
             continue
@@ -156,7 +154,18 @@ def repeated(group: np.ndarray, before: np.ndarray, after: np.ndarray, n_before:
     return lo, hi, fresh
 
 
-CONTEXT = "rank long, n long, row long, place long, n_before int, n_after int, context binary"
+def groups(bucket: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """A number for each bucket and GRAM bytes. Rows come by bucket, and hardly ever do two strings of GRAM bytes share one."""
+    change = np.concatenate([[False], bucket[1:] != bucket[:-1]])
+    differs = np.concatenate([[False], (gram[1:] != gram[:-1]).any(axis=1)])
+    if not (differs & ~change).any():
+        return np.cumsum(change)
+    return np.unique(np.hstack([np.cumsum(change).astype(">i8")[:, None].view(np.uint8), gram]), axis=0, return_inverse=True)[1].ravel()
+
+
+WIDTH = 2 * SIDE + GRAM
+#: A sample with the bytes around it, and the parts before of the strings that are looked at.
+CONTEXT = "rank long, n long, row long, place long, n_before int, n_after int, context binary, least int, most int"
 SPANS = "row long, start long, end long"
 
 
@@ -182,34 +191,30 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _sort_buckets(df: DataFrame, keep_fresh: bool) -> DataFrame:
-    """(row, start, end) of repeated strings; with ``keep_fresh`` also the samples of hot buckets that go on. ``df``: CONTEXT with bucket and side."""
-    schema = SPANS + (", " + ", ".join(f"s_{x}" for x in CONTEXT.split(", ")) if keep_fresh else "")
+def _sort_buckets(df: DataFrame) -> DataFrame:
+    """(row, start, end) of repeated strings, and beside them, as s_*, the samples of shared buckets that go on. ``df``: CONTEXT with bucket and shared."""
+    names = [x.split()[0] for x in CONTEXT.split(", ")]
+    schema = SPANS + ", " + ", ".join(f"s_{x}" for x in CONTEXT.split(", "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches):
             table = table.combine_chunks()
             m = table.num_rows
             col = lambda c: table.column(c).to_numpy()
-            context = np.frombuffer(b"".join(table.column("context").to_pylist()), dtype=np.uint8).reshape(m, 2 * SIDE)
-            bucket = col("bucket")
-            group = np.cumsum(np.concatenate([[0], (bucket[1:] != bucket[:-1])]))
-            side = col("side")
+            context = np.frombuffer(b"".join(table.column("context").to_pylist()), dtype=np.uint8).reshape(m, WIDTH)
+            group = groups(col("bucket"), context[:, SIDE : SIDE + GRAM])
+            parts = col("least").astype(np.int64) * WIDTH + col("most")
             lo, hi, fresh = np.full(m, -1), np.full(m, -1), np.zeros(m, dtype=bool)
-            for s in np.unique(side):
-                at = np.flatnonzero(side == s)
-                lo[at], hi[at], fresh[at] = repeated(group[at], np.ascontiguousarray(context[at, SIDE - 1 :: -1]), np.ascontiguousarray(context[at, SIDE:]), col("n_before")[at], col("n_after")[at], int(s))
+            for p in np.unique(parts):
+                at = np.flatnonzero(parts == p)
+                before, after = np.ascontiguousarray(context[at, SIDE - 1 :: -1]), np.ascontiguousarray(context[at, SIDE + GRAM :])
+                lo[at], hi[at], fresh[at] = repeated(group[at], before, after, col("n_before")[at], col("n_after")[at], divmod(int(p), WIDTH))
             found = np.flatnonzero(lo >= 0)
             row, place = col("row"), col("place")
-            out = {"row": row[found], "start": place[found] - hi[found], "end": place[found] - lo[found] + LENGTH}
-            if not keep_fresh:
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
-                continue
-            on = np.flatnonzero(fresh & (col("n") > HOT))
-            spans = pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
-            more = table.take(pa.array(on)).select([x.split()[0] for x in CONTEXT.split(", ")])
-            more = more.rename_columns([f"s_{c}" for c in more.column_names])
-            yield from _both(spans, more)
+            spans = pa.table({k: pa.array(v, pa.int64()) for k, v in (("row", row[found]), ("start", place[found] - hi[found]), ("end", place[found] - lo[found] + LENGTH))})
+            on = np.flatnonzero(fresh & np.asarray(table.column("shared").to_numpy(zero_copy_only=False), dtype=bool))
+            more = table.take(pa.array(on)).select(names)
+            yield from _both(spans, more.rename_columns([f"s_{c}" for c in names]))
 
     return df.mapInArrow(tidy(run), schema)
 
@@ -276,7 +281,7 @@ def _contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
     lists = places.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "rank", "n"))).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = np.concatenate([np.arange(-SIDE, 0), np.arange(GRAM, GRAM + SIDE)])
+        near = np.arange(-SIDE, GRAM + SIDE)
         for whole in batches:
             for k in range(0, whole.num_rows, 64):
                 batch = whole.slice(k, 64)
@@ -289,12 +294,13 @@ def _contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
                         p = place[begin : begin + 4096]
                         context = padded[(p[:, None] + SIDE) + near]
                         m = len(p)
-                        offsets = pa.py_buffer(np.arange(0, (m + 1) * 2 * SIDE, 2 * SIDE, dtype=np.int32)[: m + 1])
+                        offsets = pa.py_buffer(np.arange(0, (m + 1) * WIDTH, WIDTH, dtype=np.int32)[: m + 1])
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(rank[begin : begin + 4096], pa.int64()), pa.array(n[begin : begin + 4096], pa.int64()), pa.array(np.full(m, row), pa.int64()), pa.array(p, pa.int64()),
                                 pa.array(np.minimum(p, SIDE), pa.int32()), pa.array(np.minimum(len(b) - GRAM - p, SIDE), pa.int32()),
                                 pa.Array.from_buffers(pa.binary(), m, [None, offsets, pa.py_buffer(np.ascontiguousarray(context))]),
+                                pa.array(np.zeros(m), pa.int32()), pa.array(np.full(m, SIDE), pa.int32()),
                             ],
                             names=[x.split()[0] for x in CONTEXT.split(", ")],
                         )
@@ -303,7 +309,24 @@ def _contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _in_buckets(df: DataFrame) -> DataFrame:
-    return df.repartition("bucket").sortWithinPartitions("bucket", "side", "row", "place")
+    return df.repartition("bucket").sortWithinPartitions("bucket", "row", "place")
+
+
+def _shared(df: DataFrame, bucket: Column) -> DataFrame:
+    """With the bucket, and whether it is a share of a larger one."""
+    share = F.xxhash64(bucket, F.pmod(F.xxhash64("row", "place"), F.ceil(F.col("n") / HOT).cast("long")))
+    return df.withColumn("shared", F.col("n") > HOT).withColumn("bucket", F.when(F.col("shared"), share).otherwise(bucket))
+
+
+def _halves(df: DataFrame) -> DataFrame:
+    """Samples that go on, once for each half of their strings that the text has room for, with ``whole``: rank, half and the bytes that its strings have in common."""
+    middle = F.floor((F.col("least") + F.col("most")) / 2).cast("int")
+    half = lambda least, most: F.struct(least.alias("least"), most.alias("most"))
+    upper = F.when(F.col("least") < F.col("most"), half(middle + 1, F.col("most")))
+    ways = F.filter(F.array(half(F.col("least"), middle), upper), lambda h: h.isNotNull() & (F.col("n_before") >= h["least"]) & (F.col("n_after") >= SIDE - h["most"]))
+    rows = df.withColumn("h", F.explode(ways)).withColumns({"least": F.col("h.least"), "most": F.col("h.most")}).drop("h")
+    same = F.substring(F.col("context"), SIDE + 1 - F.col("least"), F.col("least") + GRAM + SIDE - F.col("most"))
+    return rows.withColumn("whole", F.xxhash64("rank", "least", "most", same))
 
 
 RESULT = "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -361,23 +384,24 @@ def _cut(docs: DataFrame, with_text: bool) -> DataFrame:
 
 def repeats(rows: DataFrame) -> DataFrame:
     """(row, start, end) of strings that start earlier too; spans overlap. ``rows``: (row, text)."""
-    by_rank = Window.partitionBy("rank")
-    counted = _samples(rows).withColumn("n", F.sum("m").over(by_rank)).where("n > 1")
+    dealt = _samples(rows).repartition("rank")
+    # a rank's rows pass by its count one after another: a frequent one is never held in memory
+    often = dealt.groupBy(F.col("rank").alias("c_rank")).agg(F.sum("m").alias("n")).where("n > 1")
     each = F.explode(F.coalesce("more", F.array(F.struct("row", "place"))))
-    again = materialize(counted.select("rank", "n", each.alias("x")).select("rank", "n", "x.row", "x.place"), "samples")
-    near = _contexts(_where(rows, id_filter(again, "row")), again)
-    shares = F.ceil(F.col("n") / HOT).cast("long")
-    first = near.withColumn("bucket", F.when(F.col("n") > HOT, F.xxhash64("rank", F.pmod(F.xxhash64("row", "place"), shares))).otherwise(F.col("rank"))).withColumn("side", F.lit(0))
-    done = materialize(_sort_buckets(_in_buckets(first), True), "round-one")
-    spans = done.where("row is not null").select("row", "start", "end")
+    again = materialize(dealt.join(often, F.col("rank") == F.col("c_rank")).select("rank", "n", each.alias("x")).select("rank", "n", "x.row", "x.place"), "samples")
+    open_ = _shared(_contexts(_where(rows, id_filter(again, "row")), again), F.col("rank"))
     names = [x.split()[0] for x in CONTEXT.split(", ")]
-    on = done.where("s_row is not null").select(*[F.col(f"s_{c}").alias(c) for c in names])
-    if on.limit(1).count():
-        part = lambda side, begin: F.struct(F.lit(side).alias("side"), F.xxhash64("rank", F.lit(side), F.substring("context", begin, HALF)).alias("bucket"))
-        ways = F.filter(F.array(F.when(F.col("n_before") >= HALF, part(-1, SIDE - HALF + 1)), F.when(F.col("n_after") >= HALF, part(1, SIDE + 1))), lambda x: x.isNotNull())
-        second = on.withColumn("w", F.explode(ways)).select(*names, "w.bucket", "w.side")
-        spans = spans.unionByName(materialize(_sort_buckets(_in_buckets(second), False), "round-two"))
-    return spans
+    spans = None
+    while True:
+        done = materialize(_sort_buckets(_in_buckets(open_)), "round")
+        found = done.where("row is not null").select("row", "start", "end")
+        spans = found if spans is None else spans.unionByName(found)
+        on = done.where("s_row is not null").select(*[F.col(f"s_{c}").alias(c) for c in names])
+        if not on.limit(1).count():
+            return spans
+        on = materialize(_halves(on), "halves")
+        sizes = on.groupBy(F.col("whole").alias("c_whole")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        open_ = _shared(on.drop("n").join(sizes, F.col("whole") == F.col("c_whole")).select(*names, "whole"), F.col("whole")).drop("whole")
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
