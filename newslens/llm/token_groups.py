@@ -11,8 +11,9 @@
    document only are left out. Equal sets are one class, stood for by its smallest
    document.
 3. Partition. Representatives that agree in a least hash are compared with the
-   smallest of them. Those that are similar at all (WEAK) are in a group with it, as
-   are groups that share a document: many near copies make one group.
+   smallest of them. Those that are similar at all (WEAK) are in the group of the
+   smallest such leader. A group is as wide as similarity to one document allows; chains do not
+   make it grow.
 4. Token-group matrix. A group stores the union of its members' first tokens,
    with the range of their sizes, one row per token and group. If two sets link,
    their first tokens have a number in common that follows from their sizes; a
@@ -20,8 +21,9 @@
    for any size in the group's range links with none of its members.
 5. Only qualifying groups are opened, and of these only such as are not connected
    already: a group's members and its queries are compared exactly, on whole sets,
-   in blocks of bounded size, by products of token matrices. A block gives no pairs,
-   only what connects its documents.
+   in blocks of bounded size, by products of token matrices. Documents known to be
+   connected share parts, so that no block holds two parts of one component, nor parts whose
+   sizes cannot link. A block gives no pairs, only what connects its documents.
 6. Components of all links found. No link between different components is lost.
 
 The order needs only be the same for all documents: it affects the number of
@@ -329,21 +331,39 @@ def least_common(n: str, other: str, percent: int) -> str:
     return f"{both} - greatest({need(n)}, {need(other)}) + {SHARED - 1}"
 
 
+def blocks(together: DataFrame, percent: int) -> DataFrame:
+    """(h, i, j, row): which documents of a group are compared in which block, two parts i and j. ``together``: (h, row, n, c), c being what is known to be connected."""
+    known = together.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("t"))
+    fill = lambda k, t: F.greatest(F.ceil(k / PART), F.ceil(t / PART_TOKENS))
+    # a large component has parts of its own, small ones share parts
+    known = known.withColumn("large", (4 * F.col("k") > PART) | (4 * F.col("t") > PART_TOKENS)).withColumn("own", fill(F.col("k"), F.col("t")))
+    of_small = lambda c: F.sum(F.when(~F.col("large"), F.col(c)).otherwise(0))
+    open_ = known.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y"), of_small("k").alias("sk"), of_small("t").alias("st")).where("x <> y")
+    known = known.join(open_.select("h", F.greatest(F.lit(1), fill(2 * F.col("sk"), 2 * F.col("st"))).alias("shared")), "h").select("h", "c", "large", "own", "shared")
+    part = F.when(F.col("large"), F.struct("large", "c", F.pmod(F.xxhash64("row"), "own").alias("p"))).otherwise(F.struct("large", F.lit(0).cast("long").alias("c"), F.pmod(F.xxhash64("c"), "shared").alias("p")))
+    dealt = materialize(together.join(known, ["h", "c"]).select("h", "row", "n", part.alias("part")), "dealt")
+    parts = dealt.groupBy("h", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    a, b = (parts.select("h", F.col("part").alias(x), F.col("least").alias(f"least_{x}"), F.col("most").alias(f"most_{x}")) for x in "ij")
+    pairs = a.join(b, "h").where("i <= j and not (i.large and j.large and i.c = j.c)").where(f"100 * most_i >= {percent} * least_j and 100 * most_j >= {percent} * least_i").select("h", "i", "j")
+    sides = pairs.withColumn("part", F.explode(F.array_distinct(F.array("i", "j"))))
+    return dealt.join(sides, ["h", "part"]).select("h", "i", "j", "row")
+
+
 def links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between representatives that connect all that are connected. ``reps``: the signatures of the representatives."""
     narrow = reps.drop("need", "first", "late")
     # 3. stars around the smallest document with a least hash
-    stars = None
-    for k in range(MINIMA):
-        lead = narrow.groupBy(f"m{k}").agg(F.min(F.struct("row", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select(f"m{k}", F.col("lead.row").alias("b"), F.col("lead.n").alias("bn"))
-        star = narrow.select(F.col("row").alias("a"), F.col("n").alias("an"), f"m{k}").join(lead, f"m{k}").where(f"a <> b and 100 * least(an, bn) >= {WEAK} * greatest(an, bn)").select("a", "b")
-        stars = star if stars is None else stars.unionByName(star)
+    least = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("m")) for k in range(MINIMA)])).alias("x")
+    agree = narrow.select("row", "n", least).select("row", "n", "x.k", "x.m")
+    # written, so that a frequent least hash is dealt anew where the two meet
+    lead = materialize(agree.groupBy("k", "m").agg(F.min(F.struct("row", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("k", "m", F.col("lead.row").alias("b"), F.col("lead.n").alias("bn")), "leaders")
+    stars = agree.withColumnsRenamed({"row": "a", "n": "an"}).join(lead, ["k", "m"]).where(f"a <> b and 100 * least(an, bn) >= {WEAK} * greatest(an, bn)").select("a", "b")
     stars = materialize(stars.distinct(), "stars")
     judged = compared(sets_of(docs, stars, n), stars, percent)
     edges = judged.where("link").select("a", "b")
-    group, part = components(judged), components(edges)
+    group, part = judged.groupBy(F.col("a").alias("row")).agg(F.min("b").alias("g")), components(edges)
     # 4. the matrix
-    named = materialize(all_first(reps), "first").join(group.withColumnRenamed("component", "g"), "row", "left").join(part.withColumnRenamed("component", "c"), "row", "left")
+    named = materialize(all_first(reps), "first").join(group, "row", "left").join(part.withColumnRenamed("component", "c"), "row", "left")
     named = materialize(named.select("row", "n", F.coalesce("g", "row").alias("g"), F.coalesce("c", "row").alias("c"), "first"), "groups")
     entries = named.select("row", "n", "g", "c", F.explode("first").alias("token"))
     several = entries.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
@@ -355,10 +375,7 @@ def links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     queries = met.where(f"common >= least({least_common('n', 'lo', percent)}, {least_common('n', 'hi', percent)})").select("h", "row", "n", "c")
     # 5. groups with their queries, in blocks
     together = materialize(named.select(F.col("g").alias("h"), "row", "n", "c").unionByName(queries), "opened")
-    parts = together.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens")).where("x <> y")
-    parts = parts.select("h", F.greatest(F.ceil(F.col("size") / PART), F.ceil(F.col("tokens") / PART_TOKENS)).cast("int").alias("parts"))
-    jobs = together.join(parts, "h").withColumn("p", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    jobs = materialize(jobs.select("h", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "row"), "jobs")
+    jobs = materialize(blocks(together, percent), "jobs")
     if not jobs.limit(1).count():
         return edges
     return edges.unionByName(opened(sets_of(docs, jobs.select(F.col("row").alias("a"), F.col("row").alias("b")), n), jobs, percent))
