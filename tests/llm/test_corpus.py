@@ -202,6 +202,33 @@ def test_disguises_of_any_length(odd, plain):
     assert decoder.restored("fine! (the other people) said that, and more") <= {"fine", "the", "people"}
 
 
+def test_texts_are_read_by_tokens():
+    """Reading distinct tokens, remembered or not, finds what the patterns find in the whole text."""
+    words = ["stupid", "people", "idiot", "ended", "w\u00f6rter", "word"]
+    pieces = [*words, "st*pid,", "1d1ot.", "idiooooot!", "s.t.u.p.i.d", "i d i o t", "s-t-u-p-i-d", "(word)", "a55", "x=ab12cd", "...", "\u00e9t\u00e9$$$", "a.b", "12", "e" * 70, "\u00a0"]
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(pieces, size=k)) for k in rng.integers(0, 30, 200)]
+    decoder = toxicity.Decoder(*toxicity.string_counts([" ".join(words)] * 50))
+    entries = toxicity.Entries(decoder)
+
+    def whole(t: str) -> set[str]:
+        plain = set(toxicity.WORD.findall(t))
+        odd = {x for p, spelt in ((toxicity.MIXED, False), (toxicity.SPELT, True), (toxicity.DOTTED, True)) for m in p.finditer(t) for x in decoder.decode(m[0], spelt).split() if len(x) > 2}
+        return plain | odd | {x for w in plain if (x := decoder.drawn_out(w))}
+
+    expected = [whole(t) for t in texts]
+    assert [toxicity.words_of(t, decoder) for t in texts] == expected
+    for _ in range(2):  # the second time from memory
+        assert [set(entries.text(t).tolist()) for t in texts] == [{k for w in e for k in toxicity._entry(w)} for e in expected]
+    known = np.array(sorted({k for w in ("stupid", "idiot") for k in toxicity._entry(w)}))
+    scorer = toxicity.Scorer(toxicity.Model(decoder.strings, decoder.counts, known, np.ones(len(known)), np.zeros(4), 0.0))
+    for t, e in zip(texts, expected):
+        found = scorer.features(t)
+        assert bool(found[3]) == any(scorer.strength(w) for w in e)
+        assert found == scorer.features(t)
+    assert scorer.plain("people") == 0.0 and scorer.plain("stupidly") == 1.0
+
+
 def test_model_counts_characters():
     """Counts are of code points, each string once, words apart from each other."""
     assert toxicity.symbols_of("caf\u00e9 \u2014\u4e2d1_Z").tolist() == [3, 1, 6, 27, 0, 0, 27, 0, 0, 26]
