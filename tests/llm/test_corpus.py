@@ -322,3 +322,41 @@ def test_pipeline(spark):
     want = brute.targets(sizes)
     assert all(abs(taken.get(s, 0) - t) <= 1 for s, t in want.items())
     check_packing([(r["doc_id"], r["text"]) for r in seen["mix"]], seen["pack"], Tokenizer.from_file(registry.tokenizer_path()))
+
+
+@pytest.mark.parametrize("kind", ["hard", "empty"])
+def test_pipeline_of_hard_rows(spark, documents, kind):
+    """Nulls in any column, blank and very long texts, repeated rows and ids, ties, other columns with clashing names, no rows."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from newslens.llm import pii
+    from newslens.llm.common import materialize
+
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), size=rng.integers(3, 9))) for _ in range(n))
+    clean = [text(60) for _ in range(40)]
+    rows = [(k, t) for k, t in enumerate(clean)]
+    rows += [(50, clean[0]), (0, clean[0]), (0, clean[0]), (5, text(60)), (51, clean[1] + " more"), (None, text(60)), (None, text(60)), (None, clean[2])]
+    rows += [(52, text(30) + " mail a.b@example.org now " + text(30)), (53, text(20_000)), (54, None), (55, ""), (56, " \n"), (None, None), (57, "short text")]
+    at = documents(rows if kind == "hard" else [])
+    columns, seen = at.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        at = materialize(stage(spark, at, ""), "test")
+        seen[name] = [r.asDict() for r in at.collect()]
+        assert name == "pack" or at.columns == columns
+    if kind == "empty":
+        assert not any(seen.values())
+        return
+    worded = sorted(t for _, t in rows if len((t or "").split()) >= 10)
+    assert sorted(r["text"] for r in seen["quality rules"]) == worded
+    components = {c for _, _, c in brute.jaccard(list(enumerate(worded)))}
+    copies = [r["text"] for r in seen["near copies"]]
+    assert len(copies) == len(components) == len(set(copies)) == 45 and set(copies) <= set(worded)
+    assert sum(r["doc_id"] is None for r in seen["near copies"]) >= 2
+    assert sorted(r["text"] for r in seen["personal data"]) == sorted(pii.redact_text(t) for t in copies)
+    assert not any("a.b@example.org" in r["text"] for r in seen["personal data"])
+    sizes, taken = {}, {}
+    for name, total in (("personal data", sizes), ("mix", taken)):
+        for r in seen[name]:
+            total[r["source"]] = total.get(r["source"], 0) + len(r["text"].split())
+    assert None in sizes and all(abs(taken.get(s, 0) - t) <= 1 for s, t in brute.targets(sizes).items())
+    check_packing([(r["doc_id"], r["text"]) for r in seen["mix"]], seen["pack"], Tokenizer.from_file(registry.tokenizer_path()))
