@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as parquet and read again as the next one's docs. All but the last return the
 columns of documents.
+
+Rows: null, blank and short texts fail the quality rules. A null doc_id makes a
+document of its own. Of near copies, repeated rows among them, the one with the
+smallest doc_id stays (null last; then the smallest text); texts that share a
+doc_id and are no near copies all stay. A null source is a source of its own in
+the mix. Texts are read whole. Other columns, of any name, go with their rows.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
