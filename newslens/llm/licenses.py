@@ -11,12 +11,12 @@ of the template adds a chance. Templates too short for that are looked up by
 windows of a single shingle, where a shared shingle collides with probability 1.
 
 Band values that no template has are dropped within the row. What is left names
-the templates to verify: the share of a template's shingles that the text has,
-compared as words, must be CONTAINED of a hundred or more.
+the templates to verify, each once: the share of a template's shingles that the
+text has, compared as words, must be CONTAINED of a hundred or more.
 
-All of it is DataFrame functions. The templates are constants, a hundred or so
-bands, so their table is broadcast. A row stays in its task; only found pairs are
-shuffled.
+All of it is DataFrame functions. The templates are constants, so band values and
+shingles are literals of the plan. A row stays in its task, and its words go no
+further than the row; only (document, license) pairs that hold are shuffled.
 
 Rows: a null or empty text has no windows and no result. Rows with a null doc_id
 come out with it, together; rows that repeat a doc_id count as one. An empty table
@@ -35,6 +35,8 @@ WINDOW = 8
 STRIDE = 4
 BANDS = 4
 CONTAINED = 80
+#: Maps into which the band values of the templates are cut.
+PARTS = 64
 
 # Notices and leading sentences of widespread licenses.
 TEMPLATES = {
@@ -93,32 +95,56 @@ def bands(grams: Column, stride: int) -> Column:
     return F.flatten(F.transform(windows(grams, stride), lambda w: F.array(*[least(w, k) for k in range(BANDS)])))
 
 
-def template_table(spark) -> tuple[DataFrame, list[int], list[int]]:
-    """(license, words, band) of the templates; band values of single shingles, and of windows."""
-    rows = [(k, template_words(t)) for k, t in TEMPLATES.items()]
-    df = spark.createDataFrame(rows, "license string, t_words array<string>").withColumn("g", hashes(F.col("t_words")))
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def lookup(spark) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
+    """Numbers of the templates by band value: of single shingles, and of windows."""
+    held = spark.createDataFrame([(n, template_words(t)) for n, t in enumerate(TEMPLATES.values())], "n int, words array<string>").withColumn("g", hashes(F.col("words")))
     short = F.size("g") < WINDOW + STRIDE - 1
-    df = df.withColumn("single", F.when(short, F.transform("g", lambda h: F.xxhash64(F.lit(-1), h))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("wide", F.when(short, F.array().cast("array<bigint>")).otherwise(bands(F.col("g"), 1)))
-    held = df.select("license", "t_words", "single", "wide").collect()  # constants
-    single = sorted({b for r in held for b in r["single"]})
-    wide = sorted({b for r in held for b in r["wide"]})
-    table = spark.createDataFrame([(r["license"], r["t_words"], b) for r in held for b in sorted({*r["single"], *r["wide"]})], "license string, t_words array<string>, band bigint")
-    return table, single, wide
+    none = F.array().cast("array<bigint>")
+    held = held.select("n", F.when(short, F.transform("g", lambda h: F.xxhash64(F.lit(-1), h))).otherwise(none).alias("single"), F.when(short, none).otherwise(bands(F.col("g"), 1)).alias("wide"))
+    single: dict[int, list[int]] = {}
+    wide: dict[int, list[int]] = {}
+    for r in held.collect():  # constants
+        for table, column in ((single, "single"), (wide, "wide")):
+            for band in set(r[column]):
+                table.setdefault(band, []).append(r["n"])
+    return single, wide
+
+
+def named(band: Column, table: dict[int, list[int]]) -> Column:
+    """The numbers of the templates with a band value. A map is searched from end to end, so it is cut into PARTS."""
+    parts = [[] for _ in range(PARTS)]
+    for value, numbers in table.items():
+        parts[value % PARTS].append(f"{value}L, array({', '.join(map(str, numbers))})")
+    maps = ", ".join(f"cast(map({', '.join(p)}) AS map<bigint, array<int>>)" for p in parts)
+    return F.element_at(F.get(F.expr(f"array({maps})"), F.pmod(band, F.lit(PARTS)).cast("int")), band)
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, n_found and n_template shingles, of the licenses that a text holds."""
-    table, single, wide = template_table(docs.sparkSession)
+    single, wide = lookup(docs.sparkSession)
     text = F.regexp_replace(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "[^a-z0-9]+", " ")
     df = docs.select(F.col(id_col).alias("doc_id"), F.split(F.trim(text), " ").alias("w"))
     df = df.select("doc_id", "w", hashes(F.col("w")).alias("g"))
     one = F.filter(F.transform("g", lambda h: F.xxhash64(F.lit(-1), h)), lambda b: b.isin(*single))
     many = F.filter(bands(F.col("g"), STRIDE), lambda b: b.isin(*wide))
-    hits = df.select("doc_id", "w", F.explode(F.array_distinct(F.concat(one, many))).alias("band"))
-    met = hits.join(F.broadcast(table), "band")
-    theirs = F.array_distinct(shingles(F.col("t_words")))
-    met = met.select("doc_id", "license", F.size(F.array_intersect(theirs, shingles(F.col("w")))).cast("long").alias("n_found"), F.size(theirs).cast("long").alias("n_template"))
+    found = F.array_distinct(F.concat(one, many))
+    to_verify = F.array_distinct(F.flatten(F.transform(found, lambda b: named(b, single | wide))))
+    of_template = [sorted({" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}) for w in map(template_words, TEMPLATES.values())]
+    array = lambda items: f"array({', '.join(items)})"
+    theirs = F.expr(array(array(f"'{s}'" for s in grams) for grams in of_template))
+    names = F.expr(array(f"'{k}'" for k in TEMPLATES))
+
+    def verified(numbers: Column) -> Column:
+        row = lambda held, n: F.struct(F.get(names, n).alias("license"), F.size(F.array_intersect(F.get(theirs, n), held)).cast("long").alias("n_found"), F.size(F.get(theirs, n)).cast("long").alias("n_template"))
+        held = F.array_intersect(F.flatten(theirs), shingles(F.col("w")))
+        return F.when(F.size(numbers) > 0, let(held, lambda h: F.transform(numbers, lambda n: row(h, n))))
+
+    met = df.select("doc_id", F.inline(let(to_verify, verified)))
     met = met.where(100 * F.col("n_found") >= CONTAINED * F.col("n_template"))
     return met.groupBy("doc_id", "license").agg(F.max("n_found").alias("n_found"), F.max("n_template").alias("n_template"))
 
