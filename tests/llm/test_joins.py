@@ -151,6 +151,54 @@ def test_licenses(documents):
     assert licenses.scan(documents([])).count() == 0
 
 
+def license_brute(rows):
+    """Every text with every template, by shingles of words."""
+    out = {}
+    for i, t in rows:
+        words = licenses.template_words(t or "")
+        have = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        for name, text in licenses.TEMPLATES.items():
+            w = licenses.template_words(text)
+            theirs = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+            found = len(theirs & have)
+            if 100 * found >= licenses.CONTAINED * len(theirs):
+                out[i, name] = max(found, out.get((i, name), (0, 0))[0]), len(theirs)
+    return out
+
+
+def edited_licenses(seed):
+    """A text around each template, with one word in thirty or so changed, left out or added."""
+    rng = random.Random(seed)
+    rows = []
+    for k, text in enumerate(licenses.TEMPLATES.values()):
+        for v in range(6):
+            words = text.split()
+            for _ in range(len(words) * v // 150):
+                j = rng.randrange(len(words))
+                words[j : j + 1] = rng.choice([["changed"], [], [words[j], "added"]])
+            filler = [f"n{rng.randrange(99)}" for _ in range(rng.randrange(40))]
+            rows.append((10 * k + v, " ".join([*filler, *words, *filler])))
+    return rows
+
+
+def test_licenses_recall(documents):
+    """What bands name is verified exactly; of what holds in edited copies, bands name all but a few."""
+    rows = edited_licenses(5)
+    true = license_brute(rows)
+    got = {(r["doc_id"], r["license"]): (r["n_found"], r["n_template"]) for r in licenses.scan(documents(rows)).collect()}
+    assert all(true[k] == v for k, v in got.items())
+    assert len(true) > 150 and len(got) >= 0.95 * len(true)
+
+
+def test_licenses_in_a_very_long_text(documents):
+    """Each template once, far into a text of 200,000 words, whatever else it holds."""
+    rng = random.Random(9)
+    filler = [f"n{rng.randrange(5000)}" for _ in range(200_000)]
+    text = " ".join([*filler[:150_000], *(t + " . " for t in licenses.TEMPLATES.values()), *filler[150_000:]])
+    got = [r["license"] for r in licenses.scan(documents([(1, text), (2, " ".join(filler))])).collect()]
+    assert sorted(got) == sorted(licenses.TEMPLATES)
+
+
 def scores(rows, k):
     ok = {i: np.array([math.floor(256 * Fraction(x)) for x in v], dtype=object) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
     out = []
