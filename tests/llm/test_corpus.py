@@ -283,6 +283,42 @@ def test_decoding_is_exact():
         assert not every and got == "" or min(prices) <= min(p for p, _ in every) + 1e-9
 
 
+def test_steps_go_down_the_risk(monkeypatch):
+    """The first step of training against differences of the risk, on both sides of the zero of its second part."""
+    monkeypatch.setattr(pu_quality, "BATCH", 4)
+    sides = set()
+    for seed in range(30):
+        rng = np.random.default_rng(100 + seed)
+        good, other = rng.normal(0, 3, (2, 1, pu_quality.WIDTH))  # one row of each, so that any draw gives the same batch
+        prior = 0.9
+
+        def risk(net, side):
+            gp, gu = net.forward(good)[2][0], net.forward(other)[2][0]
+            rest = np.logaddexp(0, gu) - prior * np.logaddexp(0, gp)
+            first = prior * np.logaddexp(0, -gp)
+            return rest, (first + rest if side else -rest) + pu_quality.DECAY / 2 * ((net.w1**2).sum() + (net.w2**2).sum())
+
+        monkeypatch.setattr(pu_quality, "STEPS", 0)
+        start = pu_quality.train(good, other, prior, seed)
+        side = risk(start, True)[0] >= 0
+        sides.add(bool(side))
+        monkeypatch.setattr(pu_quality, "STEPS", 1)
+        after = pu_quality.train(good, other, prior, seed)
+        for name in ("w1", "b1", "w2"):
+            at = getattr(start, name)
+            for j in [tuple(rng.integers(0, m) for m in at.shape) for _ in range(10)]:
+                kept = at[j]
+                at[j] = kept + 1e-5
+                up = risk(start, side)[1]
+                at[j] = kept - 1e-5
+                down = risk(start, side)[1]
+                at[j] = kept
+                slope = (up - down) / 2e-5
+                if abs(slope) > 1e-4:
+                    assert np.sign(getattr(after, name)[j] - kept) == -np.sign(slope)
+    assert sides == {True, False}
+
+
 def test_non_negative_risk():
     """Positives among the unlabelled are found as such, though no negative was shown."""
     rng = np.random.default_rng(1)

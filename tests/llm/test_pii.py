@@ -1,7 +1,9 @@
 import hashlib
+import itertools
 import random
 
 import brute
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -15,6 +17,35 @@ def test_base_spans(t):
     assert pii.base_spans(t) == brute.pii(t)
 
 
+def marginals(unary, pairs, weight):
+    """Of all labellings, by enumeration."""
+    n, labels = unary.shape
+    total = np.zeros((n, labels))
+    for x in itertools.product(range(labels), repeat=n):
+        p = np.exp(sum(unary[i, k] for i, k in enumerate(x)) + sum(w for (a, b), w in zip(pairs, weight) if x[a] == x[b]))
+        for i, k in enumerate(x):
+            total[i, k] += p
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_beliefs_are_marginals(monkeypatch):
+    """On trees messages give the exact marginals; ROUNDS of them come near, and on loops of moderate weight they do too."""
+    rng = np.random.default_rng(4)
+    for k in range(40):
+        n = int(rng.integers(2, 7))
+        unary = rng.normal(0, 1.5, (n, 3))
+        tree = [(int(rng.integers(0, i)), i) for i in range(1, n)]
+        weight = rng.uniform(0.2, pii.SKIP, len(tree))
+        exact = marginals(unary, tree, weight)
+        monkeypatch.setattr(pii, "ROUNDS", 200)
+        assert np.allclose(np.exp(pii.believe(unary, np.array(tree), weight)), exact, atol=1e-6)
+        monkeypatch.undo()
+        assert np.abs(np.exp(pii.believe(unary, np.array(tree), weight)) - exact).max() < 0.05
+        loop = [*tree, (0, n - 1)] if n > 2 and (0, n - 1) not in tree else tree
+        weak = np.full(len(loop), pii.CHAIN)
+        assert np.abs(np.exp(pii.believe(unary, np.array(loop), weak)) - marginals(unary, loop, weak)).max() < 0.02
+
+
 def test_similar_mentions_agree():
     t = "Call +1 (656) 555-6669 now. Later 656-555-6669 and (656) 555-6669, and again 656-555-6669. Other 123-456-7890."
     found = [t[a:b] for a, b, _ in pii.added_spans(t, pii.base_spans(t))]
