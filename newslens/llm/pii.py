@@ -3,7 +3,9 @@
 Base patterns find addresses, IPs, card and phone numbers; they stay whatever
 the field says. The field decides about weaker mentions: numbers and addresses
 written otherwise (no ``+``, other separators, "(at)" and "(dot)") and repeats of
-a found value inside other text. Its variables are a document's mentions:
+a found value inside other text. An address written otherwise has at most 64
+characters before its sign and labels of at most 63, as the format of addresses
+has it, and any number of labels. Its variables are a document's mentions:
 
 - unary potentials: shape of the mention and cue words before it; a base match
   is as good as certain;
@@ -45,7 +47,7 @@ CARD = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # The weaker shapes.
-WEAK_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\]|\{at\})\s?[A-Za-z0-9-]{1,63}(?:(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\})\s?)[A-Za-z0-9-]{1,63}){1,5}", re.I)
+WEAK_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\]|\{at\})\s?[A-Za-z0-9-]{1,63}(?:(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\})\s?)[A-Za-z0-9-]{1,63})+", re.I)
 WEAK_PHONE = re.compile(r"(?<![0-9+.-])(?:00[0-9]{1,2}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")
 WEAK_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:[ ]?[.,:_][ ]?|\s?(?:\(dot\)|\[dot\]|\[\.\])\s?)[0-9]{1,3}(?:(?:[ ]?[.,:_][ ]?|\s?(?:\(dot\)|\[dot\]|\[\.\])\s?)[0-9]{1,3}){2}(?![0-9])")
 WEAK_CARD = re.compile(r"(?<![0-9])[0-9]{4}(?:[ ._/-]{1,2}[0-9]{4}){2}[ ._/-]{1,2}[0-9]{3,4}(?![0-9])")

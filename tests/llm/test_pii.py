@@ -67,6 +67,12 @@ def test_disguised_addresses():
     assert pii.redact_text(t) == "write to [EMAIL]"
 
 
+def test_disguised_address_of_many_labels():
+    address = "jo.doe(at)" + "(dot)".join(["mail"] * 12) + "(dot)org"
+    t = f"Please write an email to {address} today."
+    assert [t[a:b] for a, b, kind in pii.added_spans(t, pii.base_spans(t)) if kind == "email"] == [address]
+
+
 def test_long_texts_are_linear():
     for t in ("1" * 300_000, "a@" * 200_000, "a" * 300_000 + "@", "1.1." * 100_000, "+1 " * 100_000):
         assert isinstance(pii.base_spans(t), list)
