@@ -79,7 +79,8 @@ def day_raw(df: DataFrame, m: Column) -> DataFrame:
 
 
 def sorted_by(sort: str):
-    return lambda df, m: articles.top(df.where(m), sort, 25, "event_id").select("event_id", "seendate", F.round("tone", 6).alias("tone"))
+    """Sorted by what is shown, as in the SQL, where these names are the output's: stamps of whole seconds, and rounded tones."""
+    return lambda df, m: articles.top(stamped(df.where(m).select("event_id", "seendate", F.round("tone", 6).alias("tone"))), sort, 25, "event_id")
 
 
 def sorted_sql(order: str) -> str:

@@ -44,6 +44,22 @@ def test_same_as_sql(spark, duck, name):
     assert mine == theirs
 
 
+@pytest.mark.parametrize("name", ["sort_date_desc", "sort_date_asc", "sort_tone_desc", "sort_tone_asc"])
+def test_sorts_go_by_what_is_shown(spark, tmp_path, name):
+    """Many rows to a second and to a rounded tone, with ids against and along the order within; nulls among them."""
+    con = duckdb.connect()
+    con.execute(
+        """CREATE TABLE events AS SELECT k AS event_id, CASE WHEN k % 31 <> 5 THEN TIMESTAMP '2024-01-30 23:59:58' + to_microseconds(CASE WHEN k < 60 THEN k * 20011 ELSE (120 - k) * 20011 END) END AS ts,
+k % 9 AS user_id, CASE WHEN k % 10 = 3 THEN 'view' ELSE 'click' END AS event_type, CASE WHEN k % 37 <> 7 THEN 50 + k % 2 + (k * 17 % 120) * 1e-9 END AS value, '{}' AS props FROM range(120) r(k)"""
+    )
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    found = con.execute(registry.oracle_sql()[name])
+    theirs = [tuple(map(plain, r)) for r in found.fetchall()]
+    df = registry.queries()[name](spark, str(tmp_path))
+    mine = [tuple(map(plain, r)) for r in df.select(*[d[0] for d in found.description]).collect()]
+    assert len(mine) == 25 and mine == theirs
+
+
 def test_every_query_has_sql():
     assert registry.queries().keys() == registry.oracle_sql().keys()
 
